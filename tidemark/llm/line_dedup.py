@@ -14,18 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACES, ascii_lower, body, frequent, written
+from .shared import SPACES, ascii_lower, body, frequent, row_key, written
 
 #: A document's identity: rows that repeat both id and text are one document.
 ROW = ["k1", "k2"]
 LINE = ["h1", "h2"]
 
 
-def _row_key(id_col: str, text_col: str) -> list[Column]:
-    parts = [F.col(id_col), F.col(text_col)]
-    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]
-
-
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -38,7 +33,7 @@ def drop_runs(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, support:
     everywhere. Documents that drop nothing have no row.
     """
     rows = written(
-        docs.select(*_row_key(id_col, text_col), F.posexplode(_lines(ascii_lower(body(text_col)))).alias("pos", "line"))
+        docs.select(*row_key(id_col, text_col), F.posexplode(_lines(ascii_lower(body(text_col)))).alias("pos", "line"))
         .select(*ROW, "pos", F.btrim("line", F.lit(SPACES)).alias("key"))
         .where(F.length("key") >= min_chars)
         .select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")),
@@ -89,7 +84,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, support:
     runs = drop_runs(docs, min_docs, min_chars, support, id_col, text_col)
     names = docs.columns if keep is None else keep
     # The split lines pass the exchange as an array, so no later expression splits again.
-    whole = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), *_row_key(id_col, text_col), _lines(body(text_col)).alias("lines"))
+    whole = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), *row_key(id_col, text_col), _lines(body(text_col)).alias("lines"))
     joined = whole.join(runs.hint("shuffle_hash"), ROW, "left")
     stays = F.flatten(
         F.transform(

@@ -12,10 +12,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import body, written
+from .shared import body, row_key, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: i
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[Column] | None = None) -> DataFrame:
     """One row for each input row: doc_id, source, size, source_size, target, taken.
 
     size is the number of words (null text: 0); taken is how many words the mix takes of the
@@ -63,6 +63,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.regexp_count(body(text_col), F.lit(WORD)).cast("long").alias("size"),
+            *(carry or []),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("key"),
         ),
         "sizes",
@@ -90,4 +91,20 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - passes * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("slot_start") - F.col("inside")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"), "key")
+    return placed.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"), *[F.col(n) for n in rows.columns if n not in ("doc_id", "source", "size", "key", "slot")])
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The input's rows and columns as the mix takes them: a row for each time it is taken.
+
+    A document of which the mix takes a part is there once more if that is half or more of
+    it, so a source's words come within a document of its target. Others are not there.
+    """
+    parts = [id_col, text_col, source_col]
+    again = Window.partitionBy("k1", "k2").orderBy("k2")
+    taken = mix(docs, weights, most, seed, id_col, text_col, source_col, row_key(*parts))
+    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int")
+    rows = taken.withColumn("times", times).withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.desc("times"))))
+    keyed = docs.select(F.struct(*[F.col(n) for n in docs.columns]).alias("row"), *row_key(*parts)).withColumn("nth", F.row_number().over(again))
+    joined = keyed.join(rows.where("times > 0").select("k1", "k2", "nth", "times"), ["k1", "k2", "nth"])
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")

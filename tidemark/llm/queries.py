@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
@@ -31,6 +32,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    models = langid.fit(docs.where(~held_out))
+    out = langid.predict(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), models, keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
@@ -44,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
     "op10_mixing": op10_mixing,
 }

@@ -73,3 +73,9 @@ def frequent(df: DataFrame, column: str, support: float) -> DataFrame:
     shuffle has one bounded summary for each task.
     """
     return df.stat.freqItems([column], support).select(F.explode(f"{column}_freqItems").alias(column)).where(F.col(column).isNotNull())
+
+
+def row_key(*names: str) -> list[Column]:
+    """k1, k2: 128 bits that stand for the values of these columns, nulls included."""
+    parts = [x for n in names for x in (F.col(n).isNull(), F.col(n))]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import body, written
+from .shared import body, row_key, written
 
 RADIUS = 2
 BITS = 64
@@ -55,15 +55,18 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * ones > n))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed): one row for each input row, null texts as empty."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] | None = None) -> DataFrame:
+    """doc_id, the carried bigint columns and fp (signed): a row for each input row, null texts as empty."""
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(carry or []))
+    names = [*ids.columns, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(len(names) - 1)), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(carry or []), body(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def hamming_links(nodes: DataFrame) -> DataFrame:
@@ -122,13 +125,31 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     never name it, unless all ids there are null (then it is null). Repeated rows are copies.
     An empty table gives no rows.
     """
-    rows = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    return _near(docs, width, id_col, text_col, []).select("doc_id", "fp", "component_id")
+
+
+def _near(docs: DataFrame, width: int, id_col: str, text_col: str, carry: list[Column]) -> DataFrame:
+    rows = written(fingerprints(docs, width, id_col, text_col, carry), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = connected(hamming_links(nodes.select("fp")))
     placed = written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "placed")
     ids = written(placed.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
-    named = written(placed.join(ids, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(placed.join(ids, "root").select("fp", "root", "component_id"), "named")
+    return rows.join(named, "fp")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows and columns, of each component the row of the smallest id only.
+
+    Ids that are null come last; where one id has several texts in a component, or rows
+    repeat, exactly one row stays.
+    """
+    near = _near(docs, width, id_col, text_col, row_key(id_col, text_col))
+    winner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("w")
+    stay = near.groupBy("root").agg(winner).select("w.k1", "w.k2")
+    names = docs.columns
+    keyed = docs.select(F.struct(*[F.col(n) for n in names]).alias("row"), *row_key(id_col, text_col))
+    return keyed.join(stay.hint("shuffle_hash"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def hex64(c: Column) -> Column:
