@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid
+from .ann import nearest
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
@@ -51,6 +52,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
+    "op9_nearest": op9_nearest,
     "op10_mixing": op10_mixing,
 }
 
