@@ -1,0 +1,64 @@
+import hashlib
+import random
+import re
+import time
+
+from tidemark.llm import pii as P
+
+from .cases import SCHEMA, documents, texts
+
+
+def brute_base(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub(r"[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else (2 * int(c)) // 10 + 2 * int(c) % 10 for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_against_the_plain_patterns():
+    rng = random.Random(9)
+    for _ in range(20_000):
+        t = "".join(rng.choice(["a", "b.", "@", "@x.y", ".", "1", "25", "4111111111111111", "+", "+1 ", "(", ") ", "-", " ", "é", "_", "%", "300.", "1.2.", "٣", "0001"]) for _ in range(rng.randint(1, 14)))
+        assert sorted(P.base_spans(t)) == brute_base(t), repr(t)
+
+
+def test_linear_time():
+    began = time.time()
+    for t in ("x" * 300_000, "1" * 300_000, "1 " * 15_000, "1." * 15_000, "a@" * 10_000, "+1" + " " * 300_000, "1.1.1.1 " * 2_000):
+        P.find(t, P.fitted())
+    assert time.time() - began < 30
+
+
+def test_held_out_sentences():
+    good = found = wanted = 0
+    for text, spans in P._generated(120, 99):
+        got = set(P.fitted().best(text, 0, len(text)))
+        good, found, wanted = good + len(got & set(spans)), found + len(got), wanted + len(spans)
+    assert good / found > 0.9 and good / wanted > 0.9
+
+
+def test_query_rows(spark):
+    rows = texts() + [(900, 'mail an.12@mail3.example.com, token = "' + "0f" * 20 + '" and +1 (555) 123-4567 or 4111 1111 1111 1111 at 10.0.0.255', None, None), (901, "é write to re.10 (at) mail dot com now", None, None)]
+    got = {}
+    for r in P.personal_data(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for i, text, _, _ in rows:
+        base = brute_base(text or "")
+        order = {k: n for n, k in enumerate(P.KINDS)}
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(base, key=lambda x: (order[x[0]], x[1])))
+        match = [r for r in got[i] if r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()]
+        assert match and match[0].n_email == sum(k == "email" for k, *_ in base)
+        r = match[0]
+        assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
+        for a in r.added:
+            assert not any(s < a.end and a.start < e for _, s, e in base)
+    assert any(a.kind == "secret" and a.end - a.start == 40 for a in got[900][0].added)
+    assert [(a.kind, a.start, a.end) for a in got[901][0].added] == [("email", 11, 34)]
+    assert P.personal_data(spark.createDataFrame([], SCHEMA)).collect() == []

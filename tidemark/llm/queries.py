@@ -14,6 +14,7 @@ from .licences import licence_scan
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
+from .pii import personal_data
 from .simhash import hex64, near_duplicates
 from .warc import crawl_archives
 
@@ -31,6 +32,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents")).drop("added")
+
+
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -68,6 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
+    "op3_personal_data": op3_personal_data,
     "op4_licences": op4_licences,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
