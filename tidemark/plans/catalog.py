@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.plans import series_queries  # noqa: F401  (registers its queries)
+from tidemark.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
