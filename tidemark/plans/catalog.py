@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import series_queries  # noqa: F401  (registers its queries)
+from tidemark.plans import market_queries, series_queries, text_queries  # noqa: F401  (they register their queries)
 from tidemark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
