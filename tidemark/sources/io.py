@@ -69,12 +69,16 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tidemark-")
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df as a table in spark.checkpoint.dir (a temporary folder on a local master without one)."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """Where intermediate tables go: spark.checkpoint.dir, or on a local master without one a temporary folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{(root or _own_folder()).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+    return f"{(root or _own_folder()).rstrip('/')}/tidemark"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df as a table in the scratch folder: computed once, its lineage cut."""
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
