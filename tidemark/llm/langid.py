@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import body
+from .shared import columns
 
 ORDER = 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -191,7 +191,8 @@ def fit(docs: DataFrame, most_rows: int = 400, id_col: str = "doc_id", text_col:
 
 
 def predict(docs: DataFrame, fitted: dict[str, bytes], text_col: str = "text", keep: list[str] | None = None, accepted_only: bool = False) -> DataFrame:
-    """The columns in `keep` (default: all), with lang_pred, score (0 to 1), bits, rejected.
+    """The columns in `keep` (default: all), with lang_pred, score (0 to 1), bits and rejected,
+    which replace columns of these names.
 
     lang_pred is a learned language, or `und` with score 0 (and rejected) where the text is
     null or has no letter; ties go to the first language by name. bits is the cross-entropy
@@ -201,8 +202,9 @@ def predict(docs: DataFrame, fitted: dict[str, bytes], text_col: str = "text", k
     """
     from pyspark.sql.types import StructType
 
-    names = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("text to judge"))
+    added = () if accepted_only else ("lang_pred", "score", "bits", "rejected")
+    names = [n for n in (docs.columns if keep is None else keep) if n not in added]
+    rows = docs.select(*columns(names), F.col(text_col).cast("string").alias("text to judge"))
     kept = StructType([rows.schema[c] for c in names])
     out = kept if accepted_only else StructType([*kept.fields]).add("lang_pred", "string").add("score", "double").add("bits", "double").add("rejected", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(fitted)

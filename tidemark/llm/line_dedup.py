@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACES, ascii_lower, body, frequent, row_key, written
+from .shared import SPACES, ascii_lower, body, columns, frequent, row_key, written
 
 #: A document's identity: rows that repeat both id and text are one document.
 ROW = ["k1", "k2"]
@@ -74,17 +74,31 @@ def drop_runs(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, support:
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, support: float = 0.001, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The input's columns (or those in `keep`), with kept_text, n_lines (before) and n_dropped.
+    """The input's columns (or those in `keep`), with kept_text, n_lines (before) and n_dropped,
+    which replace columns of these names.
 
     Null and empty texts are one empty line, which has no key and stays. A document may lose
     all its lines; its kept_text is then empty. Repeated rows (same id and text) count as one
     document and are treated alike. Line order and the lines that stay are unchanged, and an
     empty table gives no rows.
     """
+    added = ("kept_text", "n_lines", "n_dropped")
+    names = [n for n in (docs.columns if keep is None else keep) if n not in added]
+    return _deduped(docs, names, min_docs, min_chars, support, id_col, text_col).select("row.*", *added)
+
+
+def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, support: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows and columns, the text without its dropped lines. A null text stays null."""
+    out = _deduped(docs, docs.columns, min_docs, min_chars, support, id_col, text_col)
+    text = F.when(F.col("row").getField(text_col).isNotNull(), F.col("kept_text"))
+    return out.select(*[(text if n == text_col else F.col("row").getField(n)).alias(n) for n in docs.columns])
+
+
+def _deduped(docs: DataFrame, names: list[str], min_docs: int, min_chars: int, support: float, id_col: str, text_col: str) -> DataFrame:
+    """row (a struct of the named columns), kept_text, n_lines, n_dropped."""
     runs = drop_runs(docs, min_docs, min_chars, support, id_col, text_col)
-    names = docs.columns if keep is None else keep
     # The split lines pass the exchange as an array, so no later expression splits again.
-    whole = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), *row_key(id_col, text_col), _lines(body(text_col)).alias("lines"))
+    whole = docs.select(F.struct(*columns(names)).alias("row"), *row_key(id_col, text_col), _lines(body(text_col)).alias("lines"))
     joined = whole.join(runs.hint("shuffle_hash"), ROW, "left")
     stays = F.flatten(
         F.transform(
@@ -97,7 +111,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, support:
         )
     )
     return joined.select(
-        "row.*",
+        "row",
         F.array_join(F.when(F.col("runs").isNull(), F.col("lines")).otherwise(stays), "\n").alias("kept_text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["len"]), F.lit(0).cast("long")).alias("n_dropped"),

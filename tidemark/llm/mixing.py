@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import body, row_key, written
+from .shared import body, columns, row_key, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -105,6 +105,6 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, se
     taken = mix(docs, weights, most, seed, id_col, text_col, source_col, row_key(*parts))
     times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int")
     rows = taken.withColumn("times", times).withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.desc("times"))))
-    keyed = docs.select(F.struct(*[F.col(n) for n in docs.columns]).alias("row"), *row_key(*parts)).withColumn("nth", F.row_number().over(again))
+    keyed = docs.select(F.struct(*columns(docs.columns)).alias("row"), *row_key(*parts)).withColumn("nth", F.row_number().over(again))
     joined = keyed.join(rows.where("times > 0").select("k1", "k2", "nth", "times"), ["k1", "k2", "nth"])
     return joined.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")

@@ -79,3 +79,8 @@ def row_key(*names: str) -> list[Column]:
     """k1, k2: 128 bits that stand for the values of these columns, nulls included."""
     parts = [x for n in names for x in (F.col(n).isNull(), F.col(n))]
     return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]
+
+
+def columns(names: list[str]) -> list[Column]:
+    """Columns by name, whatever characters the names have."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]

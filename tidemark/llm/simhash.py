@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import body, row_key, written
+from .shared import body, columns, row_key, written
 
 RADIUS = 2
 BITS = 64
@@ -147,8 +147,7 @@ def one_of_each(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_co
     near = _near(docs, width, id_col, text_col, row_key(id_col, text_col))
     winner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("w")
     stay = near.groupBy("root").agg(winner).select("w.k1", "w.k2")
-    names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(n) for n in names]).alias("row"), *row_key(id_col, text_col))
+    keyed = docs.select(F.struct(*columns(docs.columns)).alias("row"), *row_key(id_col, text_col))
     return keyed.join(stay.hint("shuffle_hash"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
 
 
