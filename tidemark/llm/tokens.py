@@ -1,14 +1,13 @@
-"""Token ids of the byte-level BPE vocabulary, with a bounded cache of words.
+"""Token ids of a byte-level BPE vocabulary.
 
-Splitting before a space that stands between a character and a non-space never crosses a
-token, so a text is cut there and each different stretch is encoded once while it is cached.
+Latin text is encoded from the vocabulary's merge ranks, which is several times as fast as the
+library that the file is made for and gives the same ids; other text goes through that library.
 """
 
 from __future__ import annotations
 
 import functools
 import json
-from itertools import chain
 
 import numpy as np
 
@@ -30,7 +29,7 @@ def _bytes_of_characters() -> dict[str, int]:
 
 
 class Tokens:
-    def __init__(self, path: str, most_cached: int = 200_000) -> None:
+    def __init__(self, path: str) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -41,34 +40,25 @@ class Tokens:
         ranks = {bytes(as_byte[c] for c in k): v for k, v in saved["model"]["vocab"].items() if k not in special}
         self.exact = Tokenizer.from_file(path)
         self.plain = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special, self.cache, self.most = tuple(special), {}, most_cached
+        self.special = tuple(special)
         #: By id: whether a sentence can end with this token.
         self.ends = np.zeros(max(max(ranks.values()), *special.values(), 0) + 1, bool)
         for k, v in ranks.items():
             self.ends[v] = k.rstrip(b"\"')]\n").endswith((b".", b"!", b"?")) or k.endswith(b"\n")
 
-    def _whole(self, text: str) -> list[int]:
-        # Latin text is encoded from ranks; the libraries' character classes may differ elsewhere.
-        if text.isascii() or max(text) < "ɐ":
-            return self.plain.encode_ordinary(text)
-        return self.exact.encode(text, add_special_tokens=False).ids
-
     def ids(self, text: str) -> np.ndarray:
         """As tokenizers encodes the text with add_special_tokens=False."""
-        if any(s in text for s in self.special):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        first, *words = text.split(" ")
-        cache = self.cache
-        new = set(words).difference(cache)
-        if new:
-            if any(not w or w[0].isspace() for w in new):  # a space run or a space before other white space
-                return np.array(self._whole(text), np.uint32)
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = set(words)
-            for w in new:
-                cache[w] = tuple(self._whole(" " + w))
-        return np.fromiter(chain(self._whole(first), chain.from_iterable(map(cache.__getitem__, words))), np.uint32)
+        if not any(s in text for s in self.special) and _latin(text):
+            return np.array(self.plain.encode_ordinary(text), np.uint32)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def _latin(text: str) -> bool:
+    """Whether the libraries' character classes are sure to agree on every character."""
+    try:
+        return text.isascii() or len(text.encode("latin-1")) >= 0
+    except UnicodeEncodeError:
+        return max(text) < "ɐ"
 
 
 @functools.lru_cache(maxsize=2)
