@@ -34,6 +34,16 @@ def test_asof_edges(spark):
     assert asof_join(left.drop("k"), right.drop("k"), [], "t", "rt", ["v"]).count() == 5
 
 
+def test_asof_in_stretches_of_time(spark):
+    rng = random.Random(8)
+    left = spark.createDataFrame([(i, rng.choice("ab"), AT(rng.randrange(5000))) for i in range(200)] + [(999, "a", None)], "id int, k string, t timestamp")
+    right = spark.createDataFrame([(rng.choice("ab"), AT(rng.randrange(5000)), float(i)) for i in range(60)], "k string, rt timestamp, v double")
+    for keys, more in ((["k"], {}), ([], {}), (["k"], {"strict": True}), (["k"], {"lookback": "3 hours", "tolerance": "5 hours"})):
+        a, b = (left, right) if keys else (left.drop("k"), right.drop("k"))
+        whole, cut = ({r.id: r.v for r in asof_join(a, b, keys, "t", "rt", ["v"], tie=["v"], chunk_seconds=c, **more).collect()} for c in (None, 3600))
+        assert whole == cut
+
+
 def test_interval_edges(spark):
     at = spark.createDataFrame([(1, AT(0))], "id int, t timestamp")
     items = spark.createDataFrame([(AT(0),), (AT(-60),), (AT(-60, -1),), (AT(0, 1),)], "s timestamp")

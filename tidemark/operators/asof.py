@@ -2,6 +2,9 @@
 
 A union, one shuffle by key and one sorted pass: no range comparison of rows with rows. The
 right side's rows sort before the left's at equal times (`<=`), or behind them (`<`).
+
+A key with very many rows, or a join without keys, can be cut into stretches of time: each
+stretch is a partition of its own, and the last right row before it is carried in as its first.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ def asof_join(
     prefix: str = "",
     how: str = "left",
     tie: Sequence[str] = (),
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
     """All left columns, and `take` of the matched right row (null without a match).
 
     lookback: match at or before left time minus this interval. tolerance: a match older than
     this before that point becomes null (its exact age still matches). tie: right columns that
-    order rows of one time; the last wins. Rows with a null time match nothing.
+    order rows of one time; the last wins. Rows with a null time match nothing. chunk_seconds cuts
+    each key's rows into stretches of that length, so that no task holds a whole hot key.
     """
     names = left.columns
     at = F.col(left_ts) - F.expr(f"interval {lookback}") if lookback else F.col(left_ts)
@@ -40,9 +45,14 @@ def asof_join(
     order = F.to_json(F.struct(*tie)) if tie else F.lit(None).cast("string")
     empty = F.lit(None).cast(rows.schema["row"].dataType)
     found = right.where(F.col(right_ts).isNotNull()).select(*on, F.col(right_ts).alias("at"), F.lit(1 if strict else 0).alias("side"), order.alias("nth"), empty.alias("row"), got.alias("got"))
+    both = rows.unionByName(found)
     keys = list(on) or [F.lit(0)]
+    if chunk_seconds:
+        both = both.withColumn("chunk", F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / chunk_seconds))
+        both = both.unionByName(_carried(both, on))
+        keys = [*on, "chunk"]
     w = Window.partitionBy(*keys).orderBy("at", "side", "nth").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(found).withColumn("got", F.last("got", ignorenulls=True).over(w)).where(F.col("row").isNotNull())
+    both = both.withColumn("got", F.last("got", ignorenulls=True).over(w)).where(F.col("row").isNotNull())
     ok = F.col("at").isNotNull() & F.col("got").isNotNull()
     if tolerance:
         ok = ok & (F.col("got.ts") >= F.col("at") - F.expr(f"interval {tolerance}"))
@@ -51,6 +61,15 @@ def asof_join(
     return both.select("row.*", *[F.when(ok, F.col(f"got.{c}")).alias(prefix + c) for c in take])
 
 
+def _carried(both: DataFrame, on: Sequence[str]) -> DataFrame:
+    """For each stretch, the last right row of the stretches before it, as a right row without a time."""
+    last = both.groupBy(*on, "chunk").agg(F.max_by("got", F.when(F.col("got").isNotNull(), F.struct("at", "nth"))).alias("last"))
+    earlier = Window.partitionBy(*(list(on) or [F.lit(0)])).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.withColumn("got", F.last("last", ignorenulls=True).over(earlier)).where(F.col("got").isNotNull() & F.col("chunk").isNotNull())
+    kinds = both.schema
+    return carried.select(*on, F.lit(None).cast(kinds["at"].dataType).alias("at"), F.lit(-1).alias("side"), F.lit(None).cast("string").alias("nth"), F.lit(None).cast(kinds["row"].dataType).alias("row"), "got", "chunk")
+
+
 def returns(base: Column, now: Column) -> Column:
     """Percent change, null where either is null or the base is 0."""
     return F.try_divide(now - base, base) * 100

@@ -14,7 +14,7 @@ def portfolio(holdings: DataFrame, rates: DataFrame) -> DataFrame:
     A metal without a rate is worth 0 and says so. Costs that are unknown (null or 0) are left
     out of the cost; without a known cost or a rate there is no profit.
     """
-    by = holdings.join(F.broadcast(rates), "metal", "left").groupBy("metal").agg(
+    by = holdings.join(rates, "metal", "left").groupBy("metal").agg(
         F.sum("grams").alias("grams"), F.sum(F.when(F.col("cost") > 0, F.col("cost"))).alias("cost"),
         F.sum(F.col("grams") * F.coalesce("rate", F.lit(0))).alias("value"), F.max(F.col("rate").isNotNull()).alias("valuation_available"),
     )

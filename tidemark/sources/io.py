@@ -72,7 +72,7 @@ def _own_folder() -> str:
 def scratch(spark: SparkSession) -> str:
     """Where intermediate tables go: spark.checkpoint.dir, or on a local master without one a temporary folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
+    if not root and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(root or _own_folder()).rstrip('/')}/tidemark"
 
