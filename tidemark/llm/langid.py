@@ -184,7 +184,7 @@ def fit(docs: DataFrame, most_rows: int = 400, id_col: str = "doc_id", text_col:
     # First a share of the hashes that holds a little more than enough, then exactly enough.
     counts = docs.groupBy("lang").count()
     near = F.least(F.lit(1.0), F.lit(1.5 * most_rows) / F.col("count"))
-    first = docs.join(F.broadcast(counts), "lang").where((F.col("at").cast("double") / float(2**64) + 0.5) <= near)
+    first = docs.join(counts, "lang").where((F.col("at").cast("double") / float(2**64) + 0.5) <= near)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
     sample = first.withColumn("nth", nth).where(F.col("nth") <= most_rows).select("lang", "text", "nth")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
-        return found.rstrip("/") + "/tidemark"
+        # In full, so that Python's file systems and Hadoop's mean the same place.
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return re.sub(r"^file:/+", "file:///", whole).rstrip("/") + "/tidemark"
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return _own_folder()
