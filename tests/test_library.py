@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import market as M
+from tidemark.functions import products as P
 from tidemark.functions import text as T
 from tidemark.operators import forecast as R
 from tidemark.operators import marts, rules, series, state, stories
@@ -246,8 +247,26 @@ def test_stream_agrees_with_batch(spark, tmp_path):
 
 
 def test_ticks(spark):
-    lines = ["3\t48\t-\t-\t14504.50", "1\tSPOT-GOLD\tGOLD($)\t4,043.1\t4043.6\t1\t2", "3|7|10.5|11", "9\tx", ""]
-    got = ticks.parse_ticks(spark.createDataFrame([(x,) for x in lines], "value string")).drop("value").collect()
-    assert [tuple(r) for r in got] == [("3", "48", None, None, 14504.5), ("1", "SPOT-GOLD", "GOLD($)", 4043.1, 4043.6), ("3", "7", None, 10.5, 11.0)]
+    lines = ["3\t48\t-\t-\t14504.50", "1\tSPOT-GOLD\tGOLD($)\t4,043.1\t4043.6\t1\t2", "3|51|10.5|1200000", "2|GOLDDEC|5|-", "9\tx\t1", "3\t48\t-\t12\t-", "", "ping", '4\t4\t-\t1\t0\t\t"11/11/2026 02:06:21 PM"', "4|x|0|1"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = ticks.parse_ticks(df).select("record_type", "symbol", "name", "bid", "ask", "price").collect()
+    assert [tuple(r) for r in got] == [("3", "48", None, None, 14504.5, 14504.5), ("1", "SPOT-GOLD", "GOLD($)", 4043.1, 4043.6, 4043.6), ("3", "51", None, 10.5, 1200000.0, 1200000.0), ("2", "GOLDDEC", None, 5.0, None, 5.0)]
+    named = {r.symbol: r for r in P.with_products(ticks.parse_ticks(df)).collect()}
+    assert (named["48"].city, named["48"].unit, named["51"].unit, named["51"].weight, named["GOLDDEC"].weight) == ("CHENNAI", "1g", "100g", 100.0, 10.0)
+    assert [tuple(r) for r in ticks.parse_status(df).collect()] == [(True, "OPEN", "11/11/2026 02:06:21 PM"), (False, "CLOSED", None)]
     frames = spark.createDataFrame([("a", 1, "x", 1.0), ("a", 2, "", None), ("a", 3, "y", 2.0)], "k string, i int, s string, v double")
     assert [(r.s, r.v) for r in ticks.merge_partial(frames, ["k"], ["i"], ["s", "v"]).orderBy("i").collect()] == [("x", 1.0), ("x", 1.0), ("y", 2.0)]
+
+
+def test_products_and_sources(spark):
+    names = spark.createDataFrame([("Gold 100 GMS 999 Bangalore", 9e3), ("SILVER 1 KG 999", 9e4), ("GOLD 1KG 99.99", 7e6), ("MJDTA gold", 1e4)], "n string, p double")
+    got = [tuple(r.r)[:2] + (r.r.weight, r.r.unit, r.r.rate_type) for r in names.select(P.from_name(F.col("n"), F.col("p")).alias("r")).collect()]
+    assert got == [("BENGALURU", "GOLD_100G_999", 1.0, "1g", "RETAIL"), ("ALL_INDIA", "SILVER_1KG_999", 1.0, "1kg", "RETAIL"), ("ALL_INDIA", "GOLD_1KG_9999", 1.0, "1kg", "WHOLESALE"), ("ALL_INDIA", "MJDTA_GOLD_24K", 1.0, "1g", "MJDTA_BENCHMARK")]
+    ids = spark.createDataFrame([("48", "chennai ", "GOLD_100G_999"), ("47", "ALL_INDIA", "GOLD_1KG_9999"), ("48", "MUMBAI", "GOLD_100G_999"), (None, "CHENNAI", "GOLD_100G_999")], "i string, c string, p string")
+    assert [r[0] for r in ids.select(P.is_transient(F.col("i"), F.col("c"), F.col("p"))).collect()] == [True, False, False, False]
+    urls = spark.createDataFrame([("https://www.reuters.com/markets/gold-rises-2026-01-02", ""), ("https://www.reuters.com/markets/gold-12345-2026-01-02", ""), ("https://x.org/a-2026-01-02", "FT.com"), ("https://x.org/a-2026-01-02", ""), (None, None)], "u string, s string")
+    assert [r[0] for r in urls.select(P.is_made_up(F.col("u"), F.col("s"))).collect()] == [True, False, True, False, False]
+    times = spark.createDataFrame([("20261110T083000Z", "Tue, 10 Nov 2026 14:00:00 +0530"), ("2026", "10 Nov 2026 08:30:00 GMT"), (None, "soon")], "a string, b string")
+    t = datetime(2026, 11, 10, 8, 30)
+    assert [tuple(r) for r in times.select(P.compact_time(F.col("a")), P.mail_time(F.col("b"))).collect()] == [(t, t), (None, t), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([("blr",), (" Madras",), ("Pune",)], "c string").select(P.city_code(F.col("c"))).collect()] == ["BENGALURU", "CHENNAI", "PUNE"]

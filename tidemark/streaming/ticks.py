@@ -12,25 +12,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.functions import market as M
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def parse_ticks(lines: DataFrame, line: str = "value") -> DataFrame:
-    """record_type, symbol, name, bid, ask of tab- or pipe-delimited frames; unknown types are dropped.
+    """record_type, symbol, name, bid, ask, high, low, price of tab- or pipe-delimited frames.
 
-    Types 1 and 2 name their symbol before its label; type 3 has a number for its place, and the
-    pipe form has bid and ask right behind it.
+    The pipe form has its numbers right behind the symbol, the tab form one place later. Types 1
+    and 2 quote the ask or else the bid, type 3 the ask only; frames without a price, of other
+    types and keep-alives are dropped.
     """
-    pipe = F.col(line).contains("|")
-    f = F.split(F.btrim(line), "\\||\t")
-    at = lambda i: F.nullif(F.nullif(F.btrim(F.get(f, F.lit(i))), F.lit("-")), F.lit(""))
-    number = lambda c: F.regexp_replace(c, ",", "").try_cast("double")
-    kind = at(0)
-    named = kind.isin("1", "2")
-    bid = F.when(named, number(at(3))).when(pipe, number(at(2))).otherwise(number(at(2)))
-    ask = F.when(named, number(at(4))).when(pipe, number(at(3))).otherwise(number(at(4)))
-    out = lines.select("*", kind.alias("record_type"), at(1).alias("symbol"), F.when(named, at(2)).alias("name"), bid.alias("bid"), ask.alias("ask"))
-    return out.where(F.col("record_type").isin("1", "2", "3") & F.col("symbol").isNotNull())
+    pipe = F.col(line).contains("|") & ~F.col(line).contains("\t")
+    f = F.when(pipe, F.split(F.btrim(line), "\\|")).otherwise(F.split(F.btrim(line), "\t"))
+    at = lambda i: F.nullif(F.nullif(F.btrim(F.get("_f", F.lit(i))), F.lit("-")), F.lit(""))
+    number = lambda i: F.when(F.col("_pipe"), M.number(at(i))).otherwise(M.number(at(i + 1)))
+    out = lines.withColumn("_f", f).withColumn("_pipe", pipe).withColumn("record_type", at(0)).withColumn("symbol", at(1))
+    named = F.col("record_type").isin("1", "2") & ~F.col("_pipe")
+    for i, name in enumerate(("bid", "ask", "high", "low"), 2):
+        out = out.withColumn(name, number(i))
+    out = out.withColumn("name", F.when(named, at(2))).withColumn("price", F.when(F.col("record_type") == "3", F.col("ask")).otherwise(F.coalesce("ask", "bid")))
+    return out.where(F.col("record_type").isin("1", "2", "3") & F.col("symbol").isNotNull() & F.col("price").isNotNull()).drop("_f", "_pipe")
+
+
+def parse_status(lines: DataFrame, line: str = "value") -> DataFrame:
+    """is_displayed, market_status and updated_at (text) of type 4 frames."""
+    pipe = F.col(line).contains("|") & ~F.col(line).contains("\t")
+    f = F.when(pipe, F.split(F.btrim(line), "\\|")).otherwise(F.split(F.btrim(line), "\t"))
+    at = lambda i: F.btrim(F.when(pipe, F.get(f, F.lit(i))).otherwise(F.get(f, F.lit(i + 1))))
+    rows = lines.where(F.btrim(F.get(f, F.lit(0))) == "4")
+    updated = F.nullif(F.regexp_replace(F.coalesce(F.when(~pipe, F.get(f, F.lit(6))), F.lit("")), '"', ""), F.lit(""))
+    return rows.select((F.coalesce(at(2), F.lit("1")) == "1").alias("is_displayed"), F.when(F.coalesce(at(3), F.lit("0")) == "1", "CLOSED").otherwise("OPEN").alias("market_status"), updated.alias("updated_at"))
 
 
 def merge_partial(df: DataFrame, key: list[str], order: list[str], fields: list[str]) -> DataFrame:
