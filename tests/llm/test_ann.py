@@ -35,7 +35,7 @@ def result(df):
     return out
 
 
-@pytest.mark.parametrize("shard_rows,query_rows", [(8192, 4096), (100, 7)])
+@pytest.mark.parametrize("shard_rows,query_rows", [(65_536, 512), (100, 7)])
 def test_recall_and_exact_scores(spark, shard_rows, query_rows):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((12, 16))

@@ -9,8 +9,8 @@ the wanted recall. c comes from a bounded sample.
 
 Every row is indexed. Buckets of all tables are laid out over shards of about `shard_rows` rows,
 large buckets over several, and queries go in blocks of `query_rows` to the shards that hold
-their buckets; a task compares one block with one shard and returns the best of it for each query.
-Then candidates of all tables are merged.
+their buckets; a task compares one block with one shard, bucket by bucket, and returns the best of
+it for each query. Then candidates of all tables are merged.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, tables: int = 4, functions: int = 6, width: float = 0.8, sample_rows: int = 8192, shard_rows: int = 8192, query_rows: int = 4096, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, tables: int = 4, functions: int = 6, width: float = 0.8, sample_rows: int = 8192, shard_rows: int = 65_536, query_rows: int = 512, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, nearest first.
 
@@ -118,7 +118,8 @@ def nearest(
     hashes = Hashes(dims, most, tables, functions, width, seed)
 
     near = F.xxhash64("id").cast("double") / float(2**64) + 0.5 <= 1.2 * sample_rows / total
-    sample = np.array([r.vec for r in rows.where(near).limit(sample_rows).collect()])
+    taken = rows.where(near).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").collect()
+    sample = np.array([r.vec for r in taken], float).reshape(-1, dims)
     cosine, points = 0.0, hashes.rows(sample)
     if len(sample) > k + 1:
         some = hashes.queries(sample[:256])
@@ -136,78 +137,106 @@ def nearest(
     indexed = written(rows.select("id", "vec").mapInArrow(index, "id long, vec binary, codes array<int>"), "index")
     # tables x CELLS^functions buckets at most, whatever the rows: laid out over shards by their sizes.
     counts = indexed.select(F.posexplode("codes").alias("t", "bucket")).groupBy("t", "bucket").count().collect()
-    place, shard, filled = {}, 0, 0
+    homes, parts_of = np.full(tables * hashes.buckets, -1, np.int64), np.zeros(tables * hashes.buckets, np.int64)
+    shard, filled = 0, 0
     for t, bucket, n in sorted(map(tuple, counts)):
         parts = max(1, round(n / shard_rows))
         if filled and filled + n > shard_rows:
             shard, filled = shard + 1, 0
-        place[t, bucket] = (shard, parts)
+        homes[t * hashes.buckets + bucket], parts_of[t * hashes.buckets + bucket] = shard, parts
         shard, filled = (shard + parts, 0) if parts > 1 else (shard, filled + n)
-    homes = spark.sparkContext.broadcast(place)
+    shared = spark.sparkContext.broadcast((homes, parts_of))
     blocks = max(1, math.ceil(total / every / query_rows))
     few = total <= k + 1
+    first_code = np.arange(tables) * hashes.buckets
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        for b in batches:
-            points = hashes.queries(_matrix(b.column(1).to_pylist(), dims)) if b.num_rows else []
-            for query, raw, point in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), points):
-                at: dict[int, list[tuple[int, int]]] = {}
-                asked = [range(hashes.buckets)] * tables if few else hashes.probes(point, cosine, recall)
-                for t, buckets in enumerate(asked):
-                    for bucket in map(int, buckets):
-                        first, parts = homes.value.get((t, bucket), (0, 0))
-                        for s in range(first, first + parts):
-                            at.setdefault(s, []).append((t, bucket))
-                if at:
-                    columns = zip(*((s, (query // every) % blocks, query, raw, [t for t, _ in x], [y for _, y in x]) for s, x in at.items()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["shard", "block", "query", "vec", "ts", "buckets"])
+        homes, parts_of = shared.value
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+        for whole in batches:
+            for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
+                ids, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
+                made = []
+                for query, raw, point in zip(ids, raws, hashes.queries(_matrix(raws, dims))):
+                    if few:
+                        codes = np.flatnonzero(homes >= 0)
+                    else:
+                        codes = np.concatenate([c + x for c, x in zip(first_code, hashes.probes(point, cosine, recall))])
+                        codes = codes[homes[codes] >= 0]
+                    n = parts_of[codes]
+                    codes, shards = np.repeat(codes, n), np.repeat(homes[codes], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    order = np.argsort(shards, kind="stable")
+                    names, starts = np.unique(shards[order], return_index=True)
+                    for s, x in zip(names.tolist(), np.split(codes[order], starts[1:])):
+                        made.append((s, query // every % blocks, query, raw, x.astype(np.int32)))
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*made), kinds)], ["shard", "block", "query", "vec", "codes"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        for b in batches:
-            made = []
-            for i, raw, codes in zip(*(b.column(c).to_pylist() for c in range(3))):
-                for t, bucket in enumerate(codes):
-                    first, parts = homes.value[t, bucket]
-                    made.append((first + i % parts, t, bucket, i, raw))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*made), kinds)], ["shard", "t", "bucket", "id", "vec"])
-
-    laid = indexed.mapInArrow(lay, "shard long, t int, bucket int, id long, vec binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = indexed.where(F.col("id") % every == 0).select("id", "vec").mapInArrow(ask, "shard long, block int, query long, vec binary, ts array<int>, buckets array<int>")
-
+        homes, parts_of = shared.value
+        for whole in batches:
+            for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                codes = (np.array(b.column(2).to_pylist(), np.int64) + first_code).ravel()
+                ids = np.repeat(b.column(0).to_numpy(), tables)
+                at = homes[codes] + ids % parts_of[codes]
+                vec = b.column(1).take(pa.array(np.repeat(np.arange(b.num_rows), tables)))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(codes.astype(np.int32)), pa.array(ids), vec], ["shard", "code", "id", "vec"])
+
+    laid = indexed.mapInArrow(lay, "shard long, code int, id long, vec binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries = indexed.where(F.col("id") % every == 0).select("id", "vec").mapInArrow(ask, "shard long, block int, query long, vec binary, codes array<int>")
     none = pd.DataFrame({"query": np.array([], np.int64), "ids": np.array([], object), "scores": np.array([], object)})
 
     def compare(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
             return none
-        x, ids = _matrix(rows["vec"], dims), rows["id"].to_numpy()
-        # Tables may share a shard: a row can be here once for each of them.
-        code = rows["t"].to_numpy().astype(np.int64) * hashes.buckets + rows["bucket"].to_numpy()
+        x, ids, code = _matrix(rows["vec"], dims), rows["id"].to_numpy(), rows["code"].to_numpy()
         order = np.argsort(code, kind="stable")
         x, ids, code = x[order], ids[order], code[order]
         starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        stops, names = np.append(starts[1:], len(code)), code[starts]
-        made = []
-        for query, raw, ts, buckets in zip(asked["query"], asked["vec"], asked["ts"], asked["buckets"]):
-            q = np.frombuffer(raw, np.float64)
-            wanted = np.asarray(ts, np.int64) * hashes.buckets + np.asarray(buckets, np.int64)
-            here = np.zeros(len(names), bool)
-            here[np.searchsorted(names, wanted[np.isin(wanted, names)])] = True
-            rows_here = np.repeat(here, stops - starts)
-            score = np.where(rows_here & (ids != query), x @ q, -np.inf)
-            if len(score) > (spare := k * tables):  # a row can be among them once for each table
-                least = np.partition(score, -spare)[-spare]
-                at = np.flatnonzero(score >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else np.isfinite(score))
-            else:
-                at = np.flatnonzero(np.isfinite(score))
-            if not len(at):
-                continue
-            near, first = np.unique(ids[at], return_index=True)
-            exact = np.array([math.fsum(p) for p in x[at[first]] * q])
-            best = np.lexsort((near, -exact))[:k]
-            made.append((query, near[best], exact[best]))
+        stops = np.append(starts[1:], len(code))
+        q, names = _matrix(asked["vec"], dims), asked["query"].to_numpy()
+        wanted = np.concatenate(list(asked["codes"]))
+        whose = np.repeat(np.arange(len(asked)), [len(c) for c in asked["codes"]])
+        order = np.argsort(wanted, kind="stable")
+        wanted, whose = wanted[order], whose[order]
+        first, last = np.searchsorted(wanted, code[starts]), np.searchsorted(wanted, code[starts], side="right")
+        # The best so far, and for each query the score that its k-th best has reached.
+        found = np.array([], np.int64), np.array([], np.int64), np.array([])
+        reached, hits, held = np.full(len(asked), -np.inf), [], 0
+
+        def settle() -> None:
+            nonlocal found, held
+            who, row = (np.concatenate([h[n] for h in hits]) if hits else np.array([], np.int64) for n in (0, 1))
+            other = ids[row] != names[who]
+            who, row = who[other], row[other]
+            exact = [(x[row[i : i + 8192]] * q[who[i : i + 8192]]).sum(axis=1) for i in range(0, len(row), 8192)]
+            who, near, exact = np.concatenate([found[0], who]), np.concatenate([found[1], ids[row]]), np.concatenate([found[2], *exact])
+            # Nearest first within each query; a row that several tables found counts once.
+            order = np.lexsort((near, -exact, who))
+            who, near, exact = who[order], near[order], exact[order]
+            new = np.append(True, (who[1:] != who[:-1]) | (near[1:] != near[:-1]))[: len(who)]
+            who, near, exact = who[new], near[new], exact[new]
+            nth = np.arange(len(who)) - np.searchsorted(who, who)
+            last = nth == k - 1
+            # A product's last digits depend on its shape, so a little less than the k-th passes too.
+            reached[who[last]] = exact[last] - 1e-9 * (1 + np.abs(exact[last]))
+            best = nth < k
+            found, held = (who[best], near[best], exact[best]), 0
+            hits.clear()
+
+        for a, b, f, g in zip(starts.tolist(), stops.tolist(), first.tolist(), last.tolist()):
+            if f < g:
+                who = whose[f:g]
+                row, col = np.nonzero(x[a:b] @ q[who].T >= reached[who])
+                if len(row):
+                    hits.append((who[col], row + a))
+                    held += len(row)
+                    if held > 100_000:
+                        settle()
+        settle()
+        who, near, exact = found
+        begins = np.flatnonzero(np.append(True, who[1:] != who[:-1])[: len(who)])
+        made = [(names[who[a]], near[a:b], exact[a:b]) for a, b in zip(begins, np.append(begins[1:], len(who)))]
         return pd.DataFrame(made, columns=none.columns) if made else none
 
     parts = laid.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(compare, "query long, ids array<long>, scores array<double>")
