@@ -173,8 +173,9 @@ class Models:
         return out
 
 
-def fit(docs: DataFrame, most_rows: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Models by language, from at most `most_rows` documents of each language.
+def fit(docs: DataFrame, most_rows: int = 400, most_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """Models by language, from at most `most_rows` documents of each of the `most_languages` languages
+    that have most documents.
 
     The sample is those of smallest xxhash64(id), text: whole texts of rows with a text and a
     language. What reaches the driver is the models, whose size the sample bounds.
@@ -182,7 +183,8 @@ def fit(docs: DataFrame, most_rows: int = 400, id_col: str = "doc_id", text_col:
     docs = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("at"))
     docs = docs.where(F.col("text").isNotNull())
     # First a share of the hashes that holds a little more than enough, then exactly enough.
-    counts = docs.groupBy("lang").count()
+    # The counts have most_languages rows at most, so texts need no shuffle to meet them.
+    counts = F.broadcast(docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages))
     near = F.least(F.lit(1.0), F.lit(1.5 * most_rows) / F.col("count"))
     first = docs.join(counts, "lang").where((F.col("at").cast("double") / float(2**64) + 0.5) <= near)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
