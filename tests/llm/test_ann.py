@@ -35,7 +35,7 @@ def result(df):
     return out
 
 
-@pytest.mark.parametrize("shard_rows,query_rows", [(65_536, 512), (100, 7)])
+@pytest.mark.parametrize("shard_rows,query_rows", [(65_536, 4096), (100, 7)])
 def test_recall_and_exact_scores(spark, shard_rows, query_rows):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((12, 16))
@@ -53,6 +53,14 @@ def test_recall_and_exact_scores(spark, shard_rows, query_rows):
     assert np.mean([len({j for j, _ in want[q]} & {j for j, _ in got[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_all_candidates_of_a_few_rows(spark):
+    rng = np.random.default_rng(6)
+    for n in (15, 21, 22, 40):
+        rows = [(20 * i, rng.standard_normal(8).astype(np.float32).tolist()) for i in range(n)]
+        got = result(A.nearest(frame(spark, rows), recall=0.1))
+        assert all(len(found) == min(20, n - 1) for found in got.values()) and len(got) == n
+
+
 def test_awkward_rows(spark):
     v = [1.0, 0.5, -2.0]
     rows = [(0, v), (1, v), (2, [0.0, 0.0, 0.0]), (3, None), (4, [1.0, None, 2.0]), (5, [math.nan, 1.0, 1.0]), (6, [math.inf, 1.0, 1.0]), (7, [1.0]), (20, [-1.0, 2.0, 3.0]), (20, [-1.0, 2.0, 3.0]), (None, v), (8, []), (40, [0.1, 0.2, 0.3])]

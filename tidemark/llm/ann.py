@@ -62,8 +62,11 @@ class Hashes:
                 out[:, t] = out[:, t] * CELLS + cells[:, f]
         return out
 
-    def probes(self, point: np.ndarray, cosine: float, recall: float) -> list[np.ndarray]:
-        """For each table, the buckets to visit, most probable first."""
+    def probes(self, point: np.ndarray, cosine: float, recall: float, filled: np.ndarray, least: int) -> list[np.ndarray]:
+        """For each table, the buckets to visit, most probable first.
+
+        The first table goes on until its buckets have `least` rows (filled: their numbers).
+        """
         wanted, out = 1 - (1 - recall) ** (1 / self.tables), []
         spread = math.sqrt(max(1e-12, 1 - cosine * cosine))
         for t in range(self.tables):
@@ -74,7 +77,10 @@ class Hashes:
             for f in range(1, self.functions):
                 whole = (whole[:, None] * chance[f][None, :]).ravel()
             order = np.argsort(-whole, kind="stable")
-            out.append(order[: np.searchsorted(np.cumsum(whole[order]), wanted) + 1])
+            stop = np.searchsorted(np.cumsum(whole[order]), wanted) + 1
+            if t == 0:
+                stop = max(stop, np.searchsorted(np.cumsum(filled[order]), least) + 1)
+            out.append(order[:stop])
         return out
 
 
@@ -92,13 +98,13 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, tables: int = 4, functions: int = 6, width: float = 0.8, sample_rows: int = 8192, shard_rows: int = 65_536, query_rows: int = 512, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, tables: int = 4, functions: int = 6, width: float = 0.8, sample_rows: int = 8192, shard_rows: int = 65_536, query_rows: int = 4096, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, nearest first.
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows but the
     query's own. score is the inner product of the original vectors in double precision; ties
-    go to the smaller id, and where k or fewer candidates were found, all rows are compared.
+    go to the smaller id. A query visits at least k + 1 rows, or all if there are fewer.
     Rows with a null id, and vectors that are null, empty, zero or hold null or non-finite
     components, take no part; nor do vectors of another length than most have. Rows that
     repeat an id are one row, that of the smallest vector. An empty table gives no rows.
@@ -130,39 +136,36 @@ def nearest(
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = b.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, dims) if b.column(1).offset == 0 else np.array(b.column(1).to_pylist())
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
                 codes = pa.array(list(hashes.bucket(hashes.rows(x))), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x]), codes], ["id", "vec", "codes"])
 
     indexed = written(rows.select("id", "vec").mapInArrow(index, "id long, vec binary, codes array<int>"), "index")
     # tables x CELLS^functions buckets at most, whatever the rows: laid out over shards by their sizes.
     counts = indexed.select(F.posexplode("codes").alias("t", "bucket")).groupBy("t", "bucket").count().collect()
-    homes, parts_of = np.full(tables * hashes.buckets, -1, np.int64), np.zeros(tables * hashes.buckets, np.int64)
+    homes, parts_of, filled_of = (np.full(tables * hashes.buckets, x, np.int64) for x in (-1, 0, 0))
     shard, filled = 0, 0
     for t, bucket, n in sorted(map(tuple, counts)):
         parts = max(1, round(n / shard_rows))
         if filled and filled + n > shard_rows:
             shard, filled = shard + 1, 0
-        homes[t * hashes.buckets + bucket], parts_of[t * hashes.buckets + bucket] = shard, parts
+        code = t * hashes.buckets + bucket
+        homes[code], parts_of[code], filled_of[code] = shard, parts, n
         shard, filled = (shard + parts, 0) if parts > 1 else (shard, filled + n)
-    shared = spark.sparkContext.broadcast((homes, parts_of))
+    shared = spark.sparkContext.broadcast((homes, parts_of, filled_of))
     blocks = max(1, math.ceil(total / every / query_rows))
-    few = total <= k + 1
     first_code = np.arange(tables) * hashes.buckets
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        homes, parts_of = shared.value
+        homes, parts_of, filled_of = shared.value
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
         for whole in batches:
             for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
                 ids, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
                 made = []
                 for query, raw, point in zip(ids, raws, hashes.queries(_matrix(raws, dims))):
-                    if few:
-                        codes = np.flatnonzero(homes >= 0)
-                    else:
-                        codes = np.concatenate([c + x for c, x in zip(first_code, hashes.probes(point, cosine, recall))])
-                        codes = codes[homes[codes] >= 0]
+                    codes = np.concatenate([c + x for c, x in zip(first_code, hashes.probes(point, cosine, recall, filled_of[: hashes.buckets], k + 1))])
+                    codes = codes[homes[codes] >= 0]
                     n = parts_of[codes]
                     codes, shards = np.repeat(codes, n), np.repeat(homes[codes], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     order = np.argsort(shards, kind="stable")
@@ -173,7 +176,7 @@ def nearest(
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*made), kinds)], ["shard", "block", "query", "vec", "codes"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        homes, parts_of = shared.value
+        homes, parts_of, _ = shared.value
         for whole in batches:
             for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
                 codes = (np.array(b.column(2).to_pylist(), np.int64) + first_code).ravel()
