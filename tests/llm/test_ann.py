@@ -67,3 +67,19 @@ def test_awkward_rows(spark):
     assert result(A.nearest(frame(spark, rows))) == {q: [(j, pytest.approx(s)) for j, s in f] for q, f in brute(rows).items()}
     assert A.nearest(frame(spark, [])).collect() == []
     assert A.nearest(frame(spark, [(0, v)])).collect() == []
+
+
+def test_recall_beside_tight_groups(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 32))
+    centres = rng.standard_normal((20, 32))
+    tight = rng.random(4000) < 0.7
+    x[tight] = centres[rng.integers(0, 20, tight.sum())] + 1e-4 * rng.standard_normal((tight.sum(), 32))
+    x = x.astype(np.float32)
+    got = result(A.nearest(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])))
+    share = {True: [], False: []}
+    for q, found in got.items():
+        scores = x.astype(float) @ x[q].astype(float)
+        scores[q] = -np.inf
+        share[bool(tight[q])].append(len(set(np.argsort(-scores)[:20].tolist()) & {j for j, _ in found}) / 20)
+    assert np.mean(share[False]) >= 0.9 and np.mean(share[True]) >= 0.9

@@ -5,7 +5,7 @@ largest inner product. Each table hashes a point to k cells floor((a x + b) / wi
 and b uniform; cells beyond +-CELLS / 2 belong to the outermost. For a neighbour at cosine c
 of a query, a x is normal with mean c (a q) and variance 1 - c^2, so the chance that it lies in
 a bucket is known. Buckets are visited in that order until their chances in all tables make
-the wanted recall. c comes from a bounded sample.
+the wanted recall. c is the query's own, from a bounded sample.
 
 Every row is indexed. Buckets of all tables are laid out over shards of about `shard_rows` rows,
 large buckets over several, and queries go in blocks of `query_rows` to the shards that hold
@@ -110,8 +110,8 @@ def nearest(
     repeat an id are one row, that of the smallest vector. An empty table gives no rows.
 
     `recall` is the wanted share of true neighbours under the model above, with the cosine of
-    the k-th neighbour taken from `sample_rows` rows (bounded; its own neighbours are farther
-    than those in all rows, so the share found is larger rather than smaller).
+    each query's own k-th neighbour among `sample_rows` rows (bounded; that one is no nearer
+    than the k-th of all rows, so the share found is larger rather than smaller).
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -124,14 +124,18 @@ def nearest(
     hashes = Hashes(dims, most, tables, functions, width, seed)
 
     near = F.xxhash64("id").cast("double") / float(2**64) + 0.5 <= 1.2 * sample_rows / total
-    taken = rows.where(near).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").collect()
+    taken = rows.where(near).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id", "vec").collect()
     sample = np.array([r.vec for r in taken], float).reshape(-1, dims)
-    cosine, points = 0.0, hashes.rows(sample)
-    if len(sample) > k + 1:
-        some = hashes.queries(sample[:256])
+    sampled = spark.sparkContext.broadcast((np.array([r.id for r in taken], np.int64), hashes.rows(sample)))
+
+    def cosines(ids: list[int], some: np.ndarray) -> np.ndarray:
+        """Of each query with its own k-th neighbour in the sample."""
+        names, points = sampled.value
+        if len(points) <= k + 1:
+            return np.zeros(len(some))
         found = some @ points.T
-        found[np.arange(len(some)), np.arange(len(some))] = -np.inf
-        cosine = float(np.clip(np.median(np.partition(found, -k, axis=1)[:, -k]), 0.0, 1 - 1e-9))
+        found[np.equal.outer(np.array(ids), names)] = -np.inf
+        return np.clip(np.partition(found, -k, axis=1)[:, -k], 0.0, 1 - 1e-9)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,7 +167,8 @@ def nearest(
             for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
                 ids, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
                 made = []
-                for query, raw, point in zip(ids, raws, hashes.queries(_matrix(raws, dims))):
+                points = hashes.queries(_matrix(raws, dims))
+                for query, raw, point, cosine in zip(ids, raws, points, cosines(ids, points)):
                     codes = np.concatenate([c + x for c, x in zip(first_code, hashes.probes(point, cosine, recall, filled_of[: hashes.buckets], k + 1))])
                     codes = codes[homes[codes] >= 0]
                     n = parts_of[codes]
