@@ -88,3 +88,17 @@ def row_key(*names: str) -> list[Column]:
 def columns(names: list[str]) -> list[Column]:
     """Columns by name, whatever characters the names have."""
     return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """128 bits of all columns of a row, whatever their types: what orders rows that keys leave equal."""
+    cols = [F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else c for c, (_, kind) in zip(columns(df.columns), df.dtypes)]
+    parts = [x for c in cols for x in (c.isNull(), c)]
+    return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
+
+
+def one_row_each(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose key (k1, k2 of id and text) is in `stay`, one for each key."""
+    keyed = docs.select(F.struct(*columns(docs.columns)).alias("row"), *row_key(id_col, text_col), row_hash(docs).alias("h"))
+    kept = keyed.join(stay.hint("shuffle_hash"), ["k1", "k2"], "left_semi")
+    return kept.groupBy("k1", "k2").agg(F.min_by("row", "h").alias("row")).select("row.*")

@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import body, columns, row_key, written
+from .shared import body, one_row_each, row_key, written
 
 RADIUS = 2
 BITS = 64
 SEED = 42
-#: Buckets of up to so many nodes are compared pair by pair, larger ones by neighbour values.
+#: Buckets of up to so many nodes are compared pair by pair, larger ones by neighbour values. Both find
+#: every pair within RADIUS or a path of such pairs, so the components don't depend on this number.
 SMALL = 16
 
 
@@ -142,13 +143,13 @@ def one_of_each(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_co
     """The input's rows and columns, of each component the row of the smallest id only.
 
     Ids that are null come last; where one id has several texts in a component, or rows
-    repeat, exactly one row stays.
+    repeat, exactly one row stays, of rows that differ in other columns only the one of the
+    smallest hash. An empty table gives no rows.
     """
     near = _near(docs, width, id_col, text_col, row_key(id_col, text_col))
     winner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("w")
     stay = near.groupBy("root").agg(winner).select("w.k1", "w.k2")
-    keyed = docs.select(F.struct(*columns(docs.columns)).alias("row"), *row_key(id_col, text_col))
-    return keyed.join(stay.hint("shuffle_hash"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
+    return one_row_each(docs, stay, id_col, text_col)
 
 
 def hex64(c: Column) -> Column:
