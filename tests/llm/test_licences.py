@@ -63,3 +63,53 @@ def test_spans_of_changed_templates():
     found = s.scan(("before it " + EXTRA[3] + " and after").encode())
     assert [x[2] for x in found.spans] == ["mit-notice"] and found.spans[0][0] == 2 and found.spans[0][3] > 0.9
     assert s.scan(b"the software is free of charge to the public").spans == []
+    labels = lambda t: [x[2] for x in s.scan(t.encode()).spans]
+    # A short template that a longer one goes on from, and words that tell kin apart.
+    assert labels("Licensed under the Apache License, Version 2.0. The rest is new.") == ["apache-notice"]
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    assert labels(gnu.format("program", "", 3)) == ["gpl-notice"]
+    assert labels(gnu.format("library", "Lesser ", "2.1")) == labels(gnu.format("program", "Lesser ", "3")) == ["lgpl-notice"]
+    assert labels(gnu.format("program", "Affero ", 3)) == ["agpl-notice"]
+    assert labels("SPDX-License-Identifier: ISC") == ["isc-spdx"] and labels("SPDX-License-Identifier: Other-1.0") == []
+    assert labels("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.") == ["cc-by-sa-notice"]
+    for label, text in L.TEMPLATES:
+        assert labels(f"Copyright 2020 somebody\n\n{text}\n\nimport os") == [label]
+    # A part of a notice, noise, then the whole: the span is that of the whole.
+    words = next(t for k, t in L.TEMPLATES if k == "gpl-notice").split()
+    spans = s.scan(" ".join([*words[:20], "xx yy", *words]).encode()).spans
+    first = len(" ".join(words[:20]).encode().translate(L._TO_WORDS).split()) + 2
+    assert [(x[0], x[2], x[3]) for x in spans] == [(first, "gpl-notice", 1.0)]
+
+
+def test_chains_against_brute_force():
+    """The dynamic programme covers as many words as the best of all chains of the same stretches."""
+    rng = random.Random(12)
+    for _ in range(300):
+        s = L.Scanner({}, (("t", " ".join(rng.choice("abc") for _ in range(rng.randint(3, 9)))),), least=2, gap=2, cover=0.01, whole=0)
+        text = [rng.choice("abcx") for _ in range(rng.randint(2, 14))]
+        found = {}
+        out = L.Scan(0, [], [])
+        codes = [s.words.get(w.encode(), -1) for w in text]
+        at = 0
+        while at < len(codes):
+            end = at
+            while end < len(codes) and codes[end] >= 0:
+                end += 1
+            if end > at:
+                s._run(codes[at:end], at, out, found)
+            at = end + 1
+        items = sorted(set(found.get(0, [])))
+
+        def longest(k):
+            end, at, size = items[k]
+            best = size
+            for p in range(k):
+                last, reached, _ = items[p]
+                over = max(0, last - (end - size), reached - (at - size))
+                if last < end and reached < at and over < size and end - size + over - last <= 2:
+                    best = max(best, longest(p) + size - over)
+            return best
+
+        chains = s._chained(0, found[0]) if items else []
+        assert max((c for *_, c in chains), default=0) == max((longest(k) for k in range(len(items))), default=0)
+        assert all(e <= s2 or e2 <= b for i, (b, e, *_) in enumerate(chains) for s2, e2, *_ in chains[:i])

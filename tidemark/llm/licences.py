@@ -2,9 +2,11 @@
 
 All templates' words make one automaton. A text's words run through it once; at each word the
 state and its length are the longest stretch ending there that occurs in some template (the
-matching statistics). Stretches that cannot be extended are chained per template in the order
-of both texts, and a chain that covers enough of its template is a licence span. Short phrases
-are templates that must match whole; each place where they end is counted.
+matching statistics). Where a template stops following, its stretch ends. A dynamic programme
+chains each template's stretches in the order of both texts, and a chain that covers enough of
+its template is a licence span; where spans of several labels lie on each other, the one with
+most words of its template stays, so that words such as `lesser` decide. Short phrases are
+templates that must match whole; each place where they end is counted.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import TEMPLATES
 from .shared import LOWER, UPPER, body
 
 #: Phrase -> label.
@@ -27,20 +30,6 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Wording of well-known notices, as (label, text).
-TEMPLATES = (
-    ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-notice", "this work is licensed under the gnu general public license version 3"),
-    ("apache-notice", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache-notice", "licensed under the apache license version 2 0"),
-    ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mit-notice", "released under the mit license"),
-    ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc-notice", "licensed under cc by nc 4 0"),
-    ("cc-by-notice", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa-notice", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-)
 #: Every byte that is no part of a word becomes a space; A-Z becomes a-z.
 _TO_WORDS = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -98,11 +87,12 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, phrases: dict[str, str], templates: tuple[tuple[str, str], ...], least: int = 3, gap: int = 6, cover: float = 0.7) -> None:
-        self.least, self.gap, self.cover = least, gap, cover
-        texts = [p.split() for p in phrases] + [t.split() for _, t in templates]
+    def __init__(self, phrases: dict[str, str], templates: tuple[tuple[str, str], ...], least: int = 3, gap: int = 6, cover: float = 0.7, whole: int = 12) -> None:
+        self.least, self.gap = least, gap
+        texts = [words.decode().split() for t in (*phrases, *(t for _, t in templates)) if (words := t.encode().translate(_TO_WORDS))]
         self.labels = [*phrases.values(), *(label for label, _ in templates)]
         self.n_phrases, self.sizes = len(phrases), [len(t) for t in texts]
+        self.needed = [n if n < whole else cover * n for n in self.sizes]
         self.words = {w: i for i, w in enumerate(dict.fromkeys(w.encode() for t in texts for w in t))}
         a = self.automaton = Automaton([[self.words[w.encode()] for w in t] for t in texts])
         # By state: the lengths and numbers of the phrases that are suffixes of its longest stretch.
@@ -120,80 +110,117 @@ class Scanner:
         if not len(known):
             return out
         breaks = np.flatnonzero(np.diff(known) > 1)
-        matches: list[tuple[int, int, int]] = []  # end in the text, length, state
+        matches: dict[int, list[tuple[int, int, int]]] = {}  # template -> end in the text, end in the template, words
         for first, last in zip(known[np.append(0, breaks + 1)].tolist(), known[np.append(breaks, len(known) - 1)].tolist()):
             if last > first or self._single():
                 self._run(codes[first : last + 1].tolist(), first, out, matches)
-        self._chain(matches, out)
+        out.spans = self._resolved([x for n, stretches in matches.items() for x in self._chained(n, stretches)])
         return out
 
     def _single(self) -> bool:
         return self.least < 2 or 1 in self.sizes[: self.n_phrases]
 
-    def _run(self, codes: list[int], first: int, out: Scan, matches: list[tuple[int, int, int]]) -> None:
+    def _run(self, codes: list[int], first: int, out: Scan, matches: dict[int, list[tuple[int, int, int]]]) -> None:
         a, v, n = self.automaton, 0, 0
         follow, link, length = a.next, a.link, a.length
+
+        def ended(v: int, n: int, at: int, on: set[tuple[int, int]]) -> None:
+            """The stretches of n words that end at word `at`, but for those that go on."""
+            for template, end in self.long[v]:
+                if (template, end + 1) not in on:
+                    matches.setdefault(template, []).append((at, end, n))
+
         for i, w in enumerate(codes, first + 1):
-            if w not in follow[v]:
-                if n >= self.least and self.long[v]:
-                    matches.append((i - 1, n, v))
+            if w in follow[v]:
+                u = follow[v][w]
+                if n >= self.least and len(self.long[u]) < len(self.long[v]):
+                    ended(v, n, i - 1, set(self.long[u]))
+                v, n = u, n + 1
+            else:
+                # All that ends here: the longest stretch's templates, then those of its shorter ends.
+                seen: set[tuple[int, int]] = set()
                 while v >= 0 and w not in follow[v]:
+                    if n >= self.least:
+                        ended(v, n, i - 1, seen)
+                        seen.update((t, e + 1) for t, e in self.long[v])
                     v = link[v]
-                n = length[v] if v >= 0 else 0
-            v, n = (follow[v][w], n + 1) if v >= 0 else (0, 0)
+                    n = min(n, length[v]) if v >= 0 else 0
+                if v >= 0:
+                    if n >= self.least:
+                        ended(v, n, i - 1, seen | set(self.long[follow[v][w]]))
+                    v, n = follow[v][w], n + 1
+                else:
+                    v, n = 0, 0
             for size, phrase in self.whole[v]:
                 if size <= n:
                     out.phrases.append((i - size, self.labels[phrase]))
-        if n >= self.least and self.long[v]:
-            matches.append((first + len(codes), n, v))
-
-    def _chain(self, matches: list[tuple[int, int, int]], out: Scan) -> None:
-        """Chain stretches per template: forward in text and template, `gap` words apart at most."""
-        open_: dict[int, list[int]] = {}  # template -> text start, text end, template end, words covered
-
-        def close(n: int) -> None:
-            start, end, _, covered = open_.pop(n)
-            if covered >= self.cover * self.sizes[n]:
-                out.spans.append((start, end, self.labels[n], covered / self.sizes[n]))
-
-        for end, size, state in matches:
-            for n, at in self.long[state]:
-                start, chain = end - size, open_.get(n)
-                if chain:
-                    over = max(0, chain[1] - start, chain[2] - (at - size))  # words that both stretches have
-                    if start - chain[1] <= self.gap and at > chain[2] and over < size:
-                        chain[1], chain[2], chain[3] = end, at, chain[3] + size - over
-                        continue
-                    if size <= chain[3] and start < chain[1] + self.gap:
-                        continue
-                    close(n)
-                open_[n] = [start, end, at, size]
-        for n in list(open_):
-            close(n)
-        out.spans.sort()
+        seen = set()
+        while v > 0 and n >= self.least:
+            ended(v, n, first + len(codes), seen)
+            seen.update((t, e + 1) for t, e in self.long[v])
+            v = link[v]
+            n = min(n, length[v])
+
+    def _chained(self, n: int, stretches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """start, end, template, words covered: the best chains of a template that cover enough of it.
+
+        A chain goes forward in text and template, over `gap` words of the text at most between
+        stretches; words that two stretches share count once. Of chains that cover as much the
+        shorter wins. Chains of one template do not overlap, best first.
+        """
+        order = sorted(set(stretches))
+        best: list[tuple[int, int, int]] = []  # words covered, start, the stretch before
+        first = 0
+        longest = max(size for *_, size in order)
+        for k, (end, at, size) in enumerate(order):
+            own = (size, end - size, -1)
+            while order[first][0] < end - longest - self.gap:
+                first += 1
+            for p in range(k - 1, first - 1, -1):
+                last, reached, _ = order[p]
+                if last < end - size - self.gap:
+                    break
+                over = max(0, last - (end - size), reached - (at - size))
+                if last < end and reached < at and over < size and end - size + over - last <= self.gap:
+                    covered, start, _ = best[p]
+                    own = max(own, (covered + size - over, start, p))
+            best.append(own)
+        found: list[tuple[int, int, int, int]] = []
+        for covered, start, end in sorted(((c, s, order[k][0]) for k, (c, s, _) in enumerate(best) if c >= self.needed[n]), key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            if all(end <= s or e <= start for s, e, *_ in found):
+                found.append((start, end, n, covered))
+        return found
+
+    def _resolved(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, str, float]]:
+        """Spans by place; one that lies half or more on a span with more of its own template goes."""
+        kept: list[tuple[int, int, int, int]] = []
+        for x in sorted(found, key=lambda x: (-x[3] * x[3] / self.sizes[x[2]], x)):
+            if all(2 * (min(x[1], y[1]) - max(x[0], y[0])) < min(x[1] - x[0], y[1] - y[0]) for y in kept):
+                kept.append(x)
+        return sorted((s, e, self.labels[n], min(1.0, c / self.sizes[n])) for s, e, n, c in kept)
 
 
 @functools.lru_cache(maxsize=4)
-def _scanner(phrases: tuple, templates: tuple, least: int, gap: int, cover: float) -> Scanner:
-    return Scanner(dict(phrases), templates, least, gap, cover)
+def _scanner(phrases: tuple, templates: tuple, least: int, gap: int, cover: float, whole: int) -> Scanner:
+    return Scanner(dict(phrases), templates, least, gap, cover, whole)
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:long,end:long,label:string,cover:double>>"
 
 
-def licence_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: int = 3, gap: int = 6, cover: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def licence_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: int = 3, gap: int = 6, cover: float = 0.7, whole: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score, spans.
 
     Words are runs of digits, letters a-z after lower-casing A-Z, and non-ASCII characters.
     n_base counts all places of whole phrases (overlapping ones too), first_word and last_word
     are their smallest and largest start. Template chains of stretches of `least` words or more,
-    at most `gap` words apart, that cover `cover` of their template add its label; spans has
-    them by words, end exclusive. score is 1 with a phrase, else the best cover, else 0. Null,
+    at most `gap` words apart, that cover `cover` of their template (all of it where it has fewer
+    than `whole` words) add its label; spans has them by words, end exclusive. score is 1 with a phrase, else the best cover, else 0. Null,
     empty and wordless texts have no words and empty labels. Whole texts are read; repeated
     rows are rows of their own; an empty table gives no rows.
     """
-    setup = (tuple((PHRASES if phrases is None else phrases).items()), tuple(templates), least, gap, cover)
+    setup = (tuple((PHRASES if phrases is None else phrases).items()), tuple(templates), least, gap, cover, whole)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("cover", pa.float64())])
     kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.float64(), pa.list_(span)]
 
