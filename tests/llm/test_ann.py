@@ -83,3 +83,24 @@ def test_recall_beside_tight_groups(spark):
         scores[q] = -np.inf
         share[bool(tight[q])].append(len(set(np.argsort(-scores)[:20].tolist()) & {j for j, _ in found}) / 20)
     assert np.mean(share[False]) >= 0.9 and np.mean(share[True]) >= 0.9
+
+
+@pytest.mark.parametrize("norms", ["half noise", "log-normal"])
+def test_recall_on_uneven_data(spark, norms):
+    rng = np.random.default_rng(9)
+    n = 12_000
+    x = rng.standard_normal((n, 32))
+    if norms == "half noise":
+        groups = rng.standard_normal((60, 32))
+        x[::2] = 3 * groups[rng.integers(0, 60, n // 2)] + 0.4 * rng.standard_normal((n // 2, 32))
+    else:
+        x *= rng.lognormal(0, 1, (n, 1))
+        x[7] *= 100
+    x = x.astype(np.float32)
+    got = result(A.nearest(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])))
+    share = []
+    for q, found in got.items():
+        scores = x.astype(float) @ x[q].astype(float)
+        scores[q] = -np.inf
+        share.append(len(set(np.argsort(-scores)[:20].tolist()) & {j for j, _ in found}) / 20)
+    assert np.mean(share) >= 0.95 and np.mean(np.array(share) < 0.9) < 0.2
