@@ -30,11 +30,13 @@ def exact_dedup(docs: DataFrame, support: float = 0.001, id_col: str = "doc_id",
             F.col(id_col).alias("doc_id"),
             F.length(text).cast("long").alias("n"),
             F.sha2(F.translate(text, SPACES, "").cast("binary"), 256).alias("digest"),
+            F.monotonically_increasing_id().alias("uid"),
         ),
         "digests",
     )
-    # Smallest first: the longest text, then an id before none, then the smallest id.
-    best = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    # Smallest first: the longest text, then an id before none, then the smallest id. Rows that are equal
+    # in all of these have the same result, so the number that the written table gives them may decide.
+    best = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "uid")
     hot = written(
         rows.join(F.broadcast(frequent(rows, "digest", support)), "digest")
         .groupBy("digest")
@@ -42,18 +44,12 @@ def exact_dedup(docs: DataFrame, support: float = 0.001, id_col: str = "doc_id",
         .where("group_size > 1"),
         "hot-digests",
     )
-    taken = rows.join(F.broadcast(hot), "digest").withColumn("won", best == F.col("best"))
-    copies = Window.partitionBy("digest").orderBy("n")
-    hot_rows = taken.where("not won").withColumn("kept", F.lit(False)).unionByName(
-        taken.where("won").withColumn("kept", F.row_number().over(copies) == 1)
-    )
+    hot_rows = rows.join(F.broadcast(hot), "digest")
     group = Window.partitionBy("digest")
     cold_rows = (
         rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-        .withColumn("nth", F.row_number().over(group.orderBy(best)))
         .withColumn("best", F.min(best).over(group))
         .withColumn("group_size", F.count(F.lit(1)).over(group))
-        .withColumn("kept", F.col("nth") == 1)
     )
-    out = ["doc_id", F.col("best.id").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256")]
+    out = ["doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("digest").alias("text_sha256")]
     return hot_rows.select(*out).unionByName(cold_rows.select(*out))
