@@ -1,12 +1,15 @@
 """Line dedup over range-partitioned line hashes, with DataFrame functions only.
 
-Lines become (row key, position, 128-bit hash of the line's key); texts stay where they are.
+Lines become (row key, position, 128-bit hash of the line's key); texts take no part in the search.
 The hashes are range-partitioned and sorted by hash, document and position, and one pass over
 that order marks a hash's first occurrence in each document, whose number decides. What
-comes back to a document is its drop runs, a run-length keep bitmap, not text.
+comes back to a document is its drop runs, a run-length keep bitmap, not text. `drop_runs` ends
+there. To apply the runs, `line_dedup` moves each text once to the join with its runs: nearly
+every document may have some, so neither side has a size that a broadcast could rely on.
 
 A line found in a large share of all rows would make one range hot. Misra-Gries finds such
-hashes first (1 / support at most); they are verified exactly and broadcast.
+hashes first (1 / support at most, where support is `support` or, beyond a billion lines, the
+share of a million lines); they are verified exactly and broadcast.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ def drop_runs(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, support:
 
     A line's key is the line without ASCII white space at its ends and with A-Z lower-cased;
     keys of at least `min_chars` code points in at least `min_docs` documents are dropped
-    everywhere. Documents that drop nothing have no row.
+    everywhere. A document is an id with a text: two texts under one id are two documents, and
+    rows that repeat both are one. Documents that drop nothing have no row.
     """
     rows = written(
         docs.select(*row_key(id_col, text_col), F.posexplode(_lines(ascii_lower(body(text_col)))).alias("pos", "line"))
@@ -39,6 +43,8 @@ def drop_runs(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, support:
         .select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")),
         "line-hashes",
     )
+    # No group that is left holds more than about a million lines; the summary has 25,000 entries at most.
+    support = max(4e-5, min(support, 1_000_000 / max(1, rows.count())))
     hot = written(
         rows.join(F.broadcast(frequent(rows, "h1", support)), "h1")
         .select(*LINE, *ROW)
@@ -88,17 +94,22 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, support:
 
 
 def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, support: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, the text without its dropped lines. A null text stays null."""
-    out = _deduped(docs, docs.columns, min_docs, min_chars, support, id_col, text_col)
-    text = F.when(F.col("row").getField(text_col).isNotNull(), F.col("kept_text"))
+    """The input's rows and columns, the text without its dropped lines.
+
+    A null text stays null, an empty one empty, and a text may lose all its lines. Repeated rows
+    are treated alike, and an empty table gives no rows.
+    """
+    rest = [n for n in docs.columns if n != text_col]
+    out = _deduped(docs, rest, min_docs, min_chars, support, id_col, text_col)
+    text = F.when(~F.col("none"), F.col("kept_text"))
     return out.select(*[(text if n == text_col else F.col("row").getField(n)).alias(n) for n in docs.columns])
 
 
 def _deduped(docs: DataFrame, names: list[str], min_docs: int, min_chars: int, support: float, id_col: str, text_col: str) -> DataFrame:
-    """row (a struct of the named columns), kept_text, n_lines, n_dropped."""
+    """row (a struct of the named columns), none (no text), kept_text, n_lines, n_dropped."""
     runs = drop_runs(docs, min_docs, min_chars, support, id_col, text_col)
     # The split lines pass the exchange as an array, so no later expression splits again.
-    whole = docs.select(F.struct(*columns(names)).alias("row"), *row_key(id_col, text_col), _lines(body(text_col)).alias("lines"))
+    whole = docs.select(F.struct(*columns(names)).alias("row"), F.col(text_col).isNull().alias("none"), *row_key(id_col, text_col), _lines(body(text_col)).alias("lines"))
     joined = whole.join(runs.hint("shuffle_hash"), ROW, "left")
     stays = F.flatten(
         F.transform(
@@ -112,6 +123,7 @@ def _deduped(docs: DataFrame, names: list[str], min_docs: int, min_chars: int, s
     )
     return joined.select(
         "row",
+        "none",
         F.array_join(F.when(F.col("runs").isNull(), F.col("lines")).otherwise(stays), "\n").alias("kept_text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["len"]), F.lit(0).cast("long")).alias("n_dropped"),
