@@ -169,12 +169,12 @@ def portfolio_summary(spark, sf):
 
 @query("""
     WITH h AS (SELECT o_orderpriority AS holding, count(*) AS qty FROM orders GROUP BY 1), r AS (SELECT ts::DATE AS day, round(avg(value), 6) AS rate FROM events GROUP BY 1)
-    SELECT day, round(sum(qty * rate), 3) AS value FROM h, r GROUP BY day""")
+    SELECT day, round(sum(qty * rate::DECIMAL(18, 6)), 3)::DOUBLE AS value FROM h, r GROUP BY day""")
 def portfolio_history(spark, sf):
     held = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("qty"))
     rates = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("rate"))
     # Five priorities: the broadcast side has as many rows as there are kinds of holdings.
-    return rates.crossJoin(F.broadcast(held)).groupBy("day").agg(F.round(F.sum(F.col("qty") * F.col("rate")), 3).alias("value"))
+    return rates.crossJoin(F.broadcast(held)).groupBy("day").agg(F.round(F.sum(F.col("qty") * F.col("rate").cast("decimal(18,6)")), 3).cast("double").alias("value"))
 
 
 @query("""

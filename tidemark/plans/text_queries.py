@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import rule_tables as R
 from tidemark.functions import text as T
 from tidemark.operators import marts, rules, stories
 from tidemark.plans.base import query, table
@@ -77,14 +80,22 @@ def language_map(spark, sf):
 
 
 #: Categories that the invented documents can have.
-TOPICS = {"LICENCE": "apache license, mit license, gnu general public license, cc by-nc 4.0, licensed", "SECRET": "token", "ENGLISH": "the, and, that, with", "GERMAN": "der, und, nicht, auf", "SPANISH": "que, los, para", "FRENCH": "le, dans, pour, qui"}
-_PH = lambda listed: rules.phrases(listed)
-_RX = lambda p: "(?i)(?:^|[^A-Za-z0-9_])" + p.replace(".", "[.]") + "(?:$|[^A-Za-z0-9_])"
+TOPICS = {
+    "LICENCE": ("apache license", "mit license", "gnu general public license", "cc by-nc 4.0", "licensed"), "SECRET": ("token",), "ENGLISH": ("the", "and", "that", "with"),
+    "GERMAN": ("der", "und", "nicht", "auf"), "SPANISH": ("que", "los", "para"), "FRENCH": ("le", "dans", "pour", "qui"),
+}
+_NOT = r"[^\p{L}\p{N}_]"
+_RX = lambda p: f"(?i)(?:^|{_NOT})" + re.sub(r"([+.&$])", r"[\1]", p) + (f"(?:$|{_NOT})" if p[-1].isalnum() else r"[\p{L}\p{N}_]")
+
+
+def _says_sql(text: str, listed) -> str:
+    """Whether any of the phrases stands in the text as whole words."""
+    return "(" + " OR ".join(f"regexp_matches({text}, '{_RX(p)}')" for p in listed) + ")"
 
 
 def _topic_sql() -> str:
-    hits = ", ".join("(" + " + ".join(f"regexp_matches(text, '{_RX(p)}')::INT" for p in _PH(v)) + f") AS n_{k}" for k, v in TOPICS.items())
-    length = ", ".join("(" + " + ".join(f"CASE WHEN regexp_matches(text, '{_RX(p)}') THEN {len(p)} ELSE 0 END" for p in _PH(v)) + f") AS l_{k}" for k, v in TOPICS.items())
+    hits = ", ".join("(" + " + ".join(f"regexp_matches(text, '{_RX(p)}')::INT" for p in v) + f") AS n_{k}" for k, v in TOPICS.items())
+    length = ", ".join("(" + " + ".join(f"CASE WHEN regexp_matches(text, '{_RX(p)}') THEN {len(p)} ELSE 0 END" for p in v) + f") AS l_{k}" for k, v in TOPICS.items())
     score = lambda k: f"CASE WHEN n_{k} > 0 THEN round(least(1.0, 0.7 + least(n_{k} - 1, 3) * 0.1::DOUBLE), 4) END"
     rows = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS name, {score(k)} AS score, {2 if k == 'LICENCE' else 0 if k == 'ENGLISH' else 1} AS rank, l_{k} AS len, {-i} AS pos FROM h WHERE n_{k} > 0" for i, k in enumerate(TOPICS))
     return f"""WITH h AS (SELECT doc_id, {hits}, {length} FROM documents), r AS ({rows})"""
@@ -92,14 +103,14 @@ def _topic_sql() -> str:
 
 def _topics(spark, sf):
     return rules.relevance(
-        table(spark, sf, "documents"), "text", categories=TOPICS, exclusions="olympic medal", context="market", explicit="license", specific=["LICENCE"], direct=["LICENCE"],
-        dimensions={"world": ["GERMAN", "FRENCH"], "market": ["ENGLISH"]}, metals="SECRET", least_specific="ENGLISH", around=rules.ASCII_WORDS,
+        table(spark, sf, "documents"), "text", categories=TOPICS, exclusions=("olympic medal",), context=("market",), explicit=("license",), specific=["LICENCE"], direct=["LICENCE"],
+        dimensions={"world": ["GERMAN", "FRENCH"], "market": ["ENGLISH"]}, metals="SECRET", least_specific="ENGLISH",
     )
 
 
 @query(_topic_sql() + ", m AS (SELECT doc_id, max(score) FILTER (WHERE name IN ('GERMAN', 'FRENCH')) AS world, max(score) FILTER (WHERE name = 'ENGLISH') AS market, max(score) FILTER (WHERE name = 'LICENCE') AS direct, max(score) FILTER (WHERE name = 'SECRET') AS metals FROM r GROUP BY doc_id)"
-       """, f AS (SELECT d.doc_id, coalesce(world, 0) AS world, coalesce(market, 0) AS market, CASE WHEN direct > 0 THEN direct WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])license(?:$|[^A-Za-z0-9_])') THEN round(least(1.0, 0.6 + coalesce(world, 0) * 0.3::DOUBLE), 4) ELSE round(coalesce(metals, 0) * 0.7::DOUBLE, 4) END AS relevance_score,
-          regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])license(?:$|[^A-Za-z0-9_])') AS said FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id)
+       """, f AS (SELECT d.doc_id, coalesce(world, 0) AS world, coalesce(market, 0) AS market, CASE WHEN direct > 0 THEN direct WHEN regexp_matches(text, '(?i)(?:^|[^\\p{L}\\p{N}_])license(?:$|[^\\p{L}\\p{N}_])') THEN round(least(1.0, 0.6 + coalesce(world, 0) * 0.3::DOUBLE), 4) ELSE round(coalesce(metals, 0) * 0.7::DOUBLE, 4) END AS relevance_score,
+          regexp_matches(text, '(?i)(?:^|[^\\p{L}\\p{N}_])license(?:$|[^\\p{L}\\p{N}_])') AS said FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id)
        SELECT doc_id, world, market, relevance_score, relevance_score >= 0.4 OR said AS is_relevant FROM f""")
 def relevance_scores(spark, sf):
     return _topics(spark, sf).select("doc_id", "world", "market", "relevance_score", "is_relevant")
@@ -125,10 +136,10 @@ def masked_negation(spark, sf):
     return df.select("doc_id", (F.col("t1") != F.col("t0")).alias("licensed"), (F.col("t2") != F.col("t1")).alias("secret"), F.col("t2").rlike("license").alias("license_left"), F.length("t2").alias("length_left"))
 
 
-_ORDERED = (("SECRET", r'token = "'), ("LICENCE", r"licen[cs]e"), ("CARD", r"[0-9]{16}"), ("MAIL", r"@[a-z0-9]+\."))
+_ORDERED = (("SECRET", (r'token = "',)), ("LICENCE", (r"licen[cs]e",)), ("CARD", (r"[0-9]{16}",)), ("MAIL", (r"@[a-z0-9]+\.",)))
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for k, p in _ORDERED) + " ELSE 'UNKNOWN' END AS tag FROM documents")
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p[0]}') THEN '{k}'" for k, p in _ORDERED) + " ELSE 'UNKNOWN' END AS tag FROM documents")
 def rule_direction(spark, sf):
     return table(spark, sf, "documents").select("doc_id", rules.first_tag(F.lower("text"), _ORDERED).alias("tag"))
 
@@ -240,6 +251,84 @@ def stratified_sample(spark, sf):
     return stories.stratified_sample(table(spark, sf, "documents").select("doc_id", "lang", "source"), "lang", "source", "doc_id", 100, 10)
 
 
-@query()
+#: Headlines for documents to have, two each: every rule of the impact tables has its turn.
+WIRES = (
+    "Fed hikes interest rates by 25 bps", "Fed cuts rates as expected", "Fed holds rates steady as expected", "Powell strikes hawkish tone", "Fed pauses rate hikes", "Rate cuts are off the table", "ECB raises key rates", "RBI unexpectedly cuts repo rate", "RBI hikes the repo rate",
+    "Treasury yields surge to new high", "Bond yields tumble on weak data", "Gold rate today in Chennai", "Check latest 22k gold rate", "MCX gold futures edges lower after Fed remarks", "Spot gold edges up", "Spot gold rises slightly higher ahead of inflation data", "Gold fails to rally", "Gold unable to extend losses", "Rupee falls to record low", "USDINR slips on inflows",
+    "Dollar firms against peers", "Weak dollar lifts metals", "Middle East conflict escalates", "Safe-haven demand grows", "Central bank gold buying continues", "Central banks halt buying", "Gold demand slumps", "Dhanteras buying begins", "Gold ETFs see inflows", "Gold ETFs record outflows", "Oil jumps above $100", "Crude steadies", "Hotter than expected CPI", "Cooler than expected inflation",
+    "Jobs data better than expected", "Retail sales miss", "Claims worse than expected", "Technical breakout in metals", "Flash crash hits silver", "Jewellery makers wait", "Look to Fed", "Government hikes import duty on gold", "Customs cut: lowers import duty on gold", "Fed keeps rates unchanged with limited guidance", "Quiet session in thin trade", "Hike bets ease", "Fed hike fears", "Fewer rate cuts seen", "Inflation in line with expectations", "Stocks close flat",
+)
+_WIRE = lambda k: f"(['" + "', '".join(WIRES) + f"'])[(doc_id * {k} + doc_id // 50) % {len(WIRES)} + 1]"
+
+
+def _wires(spark, sf):
+    one = lambda k: F.get(F.array(*map(F.lit, WIRES)), ((F.col("doc_id") * k + F.floor(F.col("doc_id") / 50)) % len(WIRES)).cast("int"))
+    return table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", F.concat(one(1), F.lit(" "), one(7)).alias("title"))
+
+
+def _impact_sql() -> str:
+    # RE2 has no look-ahead; the one of the table only asks for words further on.
+    text = lambda p: p.replace(r"(?=.*limited guidance)\b", r"\b.*limited guidance").replace("'", "''")
+    says = lambda c, patterns: f"regexp_matches({c}, '{'|'.join(map(text, patterns))}')"
+
+    def masked(c, patterns):
+        for p in patterns:
+            c = f"regexp_replace({c}, '{text(p)}', ' ', 'g')"
+        return c
+
+    tags = " ".join(f"WHEN {says('t', p)} THEN '{k}'" for k, p in R.SURPRISES)
+    case = lambda side: ", ".join(f"CASE WHEN {says('t', p)} THEN '{d}|{c}' END" for d, s, c, p in R.SIGNALS if s == side)
+    return f"""WITH w AS (SELECT doc_id, lower({_WIRE(1)} || ' ' || {_WIRE(7)}) AS t FROM documents WHERE doc_id IS NOT NULL),
+    s AS (SELECT *, CASE {tags} ELSE 'UNKNOWN' END AS surprise, {says('t', R.PRICE_REPORT)} AND NOT {says('t', R.MACRO_CONTENT)} OR {says('t', R.DESCRIPTIVE_MOVE)} AND NOT {says('t', R.CAUSAL_MACRO)} AS is_price_report, {masked('t', R.NEGATED_HIKE)} AS a FROM w),
+    s2 AS (SELECT *, {masked('a', R.NEGATED_CUT)} AS b FROM s), s3 AS (SELECT *, {masked('b', R.RBI_HAWKISH)} AS c FROM s2), s4 AS (SELECT *, {masked('c', R.RBI_DOVISH)} AS d FROM s3),
+    s5 AS (SELECT *, {says('d', R.FOREIGN_BANK)} AND NOT {says('d', R.FED_NAME)} AS other, {masked('d', R.FOREIGN_POLICY)} AS e FROM s4),
+    s6 AS (SELECT *, surprise = 'AS_EXPECTED' AND a = t AND b = a AND {says('e', R.FED_ACTION)} AS expected, {says('e', R.FED_NEUTRAL)} AND NOT {says('e', R.FED_BEARISH)} AS held, CASE WHEN contains(e, 'yield') AND NOT contains(e, 'fed') THEN 'US_INTEREST_RATES|HIGH' ELSE 'FED_POLICY|HIGH' END AS fed FROM s5),
+    s7 AS (SELECT *, coalesce(CASE WHEN a <> t THEN 'FED_POLICY|HIGH' END, CASE WHEN d <> c THEN 'INR|MEDIUM' END, CASE WHEN NOT other AND NOT expected AND NOT held AND {says('e', R.FED_BULLISH)} THEN fed END) AS bull0,
+        coalesce(CASE WHEN b <> a THEN 'FED_POLICY|HIGH' END, CASE WHEN c <> b THEN 'INR|MEDIUM' END, CASE WHEN NOT other AND NOT expected AND {says('e', R.FED_BEARISH)} THEN fed END) AS bear0, {says('t', R.INFLATION)} AS prices, {says('t', R.INFLATION_BEARISH)} AS prices_up FROM s6),
+    s8 AS (SELECT *, bull0 IS NULL AND bear0 IS NULL AND (other OR NOT (expected OR held)) AS early, coalesce(bull0, {case('BULLISH')}) AS bull1, coalesce(bear0, {case('BEARISH')}, CASE WHEN prices AND prices_up THEN 'INFLATION|MEDIUM' END) AS bear1 FROM s7),
+    s9 AS (SELECT *, coalesce(bull1, CASE WHEN bear1 IS NULL AND {says('t', R.MOMENTUM_BULLISH)} THEN 'OTHER_MACRO|MEDIUM' END) AS bull, coalesce(bear1, CASE WHEN bull1 IS NULL AND {says('t', R.MOMENTUM_BEARISH)} THEN 'OTHER_MACRO|MEDIUM' END) AS bear,
+        CASE WHEN bull1 IS NULL AND bear1 IS NULL AND prices AND NOT prices_up THEN 'INFLATION' WHEN early AND {says('e', R.FED_PREVIEW)} THEN 'FED_POLICY' WHEN e <> d OR other THEN 'OTHER_MACRO' END AS unsure0, NOT other AND (expected OR held) AS neutral FROM s8),
+    r AS (SELECT *, coalesce(unsure0, CASE WHEN bull IS NULL AND bear IS NULL AND NOT neutral AND {says('t', R.PHYSICAL_UNSPECIFIED)} THEN 'INDIAN_PHYSICAL_DEMAND' END) AS unsure FROM s9),
+    o AS (SELECT doc_id, surprise, is_price_report, CASE WHEN is_price_report THEN 'NEUTRAL|GOLD_PRICE_REPORT|MEDIUM' WHEN bull IS NOT NULL AND bear IS NOT NULL THEN 'MIXED|' || split_part(bull, '|', 1) || '|MEDIUM'
+        WHEN bull IS NOT NULL AND {says('t', R.FAILED_RALLY)} THEN 'UNKNOWN|' || split_part(bull, '|', 1) || '|LOW' WHEN bull IS NOT NULL THEN 'BULLISH|' || bull WHEN bear IS NOT NULL AND {says('t', R.FAILED_DROP)} THEN 'UNKNOWN|' || split_part(bear, '|', 1) || '|LOW'
+        WHEN bear IS NOT NULL THEN 'BEARISH|' || bear WHEN neutral THEN 'NEUTRAL|FED_POLICY|MEDIUM' WHEN unsure IS NOT NULL THEN 'UNKNOWN|' || unsure || '|LOW' ELSE 'UNKNOWN|UNKNOWN|LOW' END AS x FROM r)
+    SELECT doc_id, surprise, is_price_report, split_part(x, '|', 1) AS direction, split_part(x, '|', 2) AS driver, split_part(x, '|', 3) AS confidence FROM o"""
+
+
+@query(_impact_sql())
 def headline_impact(spark, sf):
-    return rules.impact(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+    """The whole of the impact rules on headlines dealt out to the documents."""
+    return rules.impact(_wires(spark, sf), "title").drop("title")
+
+
+_POOL = [p for v in R.CATEGORIES.values() for p in v] + [*R.EXCLUSIONS, *R.CONTEXT, *R.EXPLICIT]
+
+
+def _category_sql() -> str:
+    pool = "['" + "', '".join(_POOL) + "']"
+    pick = lambda k: f"({pool})[(doc_id * {k} + doc_id // 100) % {len(_POOL)} + 1]"
+    n = lambda c, v: "(" + " + ".join(f"regexp_matches({c}, '{_RX(p)}')::INT" for p in v) + ")"
+    length = lambda v: "(" + " + ".join(f"CASE WHEN regexp_matches(t, '{_RX(p)}') OR regexp_matches(d, '{_RX(p)}') THEN {len(p)} ELSE 0 END" for p in v) + ")"
+    hits = ", ".join(f"{n('t', v)} AS t_{k}, {n('d', v)} AS d_{k}, {length(v)} AS l_{k}" for k, v in R.CATEGORIES.items())
+    score = lambda k: f"CASE WHEN t_{k} > 0 THEN round(least(1.0, 0.7 + least(t_{k} - 1, 3) * 0.1::DOUBLE), 4) ELSE round(0.4 + least(d_{k} - 1, 3) * 0.1::DOUBLE, 4) END"
+    rank = lambda k: 2 if k in R.SPECIFIC else 0 if k == "GOLD_DIRECT" else 1
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS name, {score(k)} AS score, {rank(k)} AS rank, l_{k} AS len, {-i} AS pos FROM h WHERE NOT excluded AND t_{k} + d_{k} > 0" for i, k in enumerate(R.CATEGORIES))
+    top = lambda names: "coalesce(max(score) FILTER (WHERE name IN ('" + "', '".join(names) + "')), 0)"
+    dims = ", ".join(f"{top(v)} AS {k}" for k, v in R.DIMENSIONS.items())
+    most = ", ".join(k for k in R.DIMENSIONS if k != "market")
+    return f"""WITH i AS MATERIALIZED (SELECT doc_id, {pick(1)} || ' and ' || {pick(3)} AS t, {pick(11)} || ', ' || {pick(17)} AS d FROM documents WHERE doc_id IS NOT NULL),
+    h AS MATERIALIZED (SELECT doc_id, {hits}, {_says_sql("t || ' ' || d", R.EXCLUSIONS)} AND NOT {_says_sql("t || ' ' || d", R.CONTEXT)} AS excluded, {_says_sql("t || ' ' || d", R.EXPLICIT)} AS named FROM i),
+    r AS MATERIALIZED ({rows}), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank DESC, len DESC, pos DESC) AS nth FROM r),
+    m AS (SELECT h.doc_id, any_value(named AND NOT excluded) AS said, coalesce(max(name) FILTER (WHERE nth = 1), 'OTHER') AS primary_category, coalesce(string_agg(name, ',' ORDER BY nth) FILTER (WHERE nth > 1 AND score >= 0.35), '') AS supporting,
+        {dims}, {top(R.DIRECT)} AS direct, {top(["PRECIOUS_METALS"])} AS metals FROM h LEFT JOIN o ON h.doc_id = o.doc_id GROUP BY h.doc_id),
+    f AS (SELECT *, CASE WHEN direct > 0 THEN direct WHEN said THEN round(least(1.0, 0.6 + greatest(0, {most}) * 0.3::DOUBLE), 4) ELSE round(metals * 0.7::DOUBLE, 4) END AS relevance_score FROM m)
+    SELECT doc_id, primary_category, supporting, {", ".join(R.DIMENSIONS)}, relevance_score, relevance_score >= 0.4 OR said AS is_relevant FROM f"""
+
+
+@query(_category_sql())
+def gold_relevance(spark, sf):
+    """All categories of the domain on headlines and descriptions made of their phrases."""
+    pick = lambda k: F.get(F.array(*map(F.lit, _POOL)), ((F.col("doc_id") * k + F.floor(F.col("doc_id") / 100)) % len(_POOL)).cast("int"))
+    df = table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", F.concat(pick(1), F.lit(" and "), pick(3)).alias("t"), F.concat(pick(11), F.lit(", "), pick(17)).alias("d"))
+    out = rules.relevance(df, "t", "d")
+    return out.select("doc_id", "primary_category", F.array_join("supporting_categories", ",").alias("supporting"), *R.DIMENSIONS, "relevance_score", "is_relevant")
