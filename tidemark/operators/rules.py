@@ -18,6 +18,11 @@ from tidemark.functions import rule_tables as R
 WORD = r"\p{L}\p{N}_"
 
 
+def strings(listed: Sequence[str]) -> Column:
+    """An array of texts, in one expression: a literal for each would take a call to the JVM each."""
+    return F.expr("array(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in listed) + ")")
+
+
 def found_phrases(text: Column, listed: Sequence[str], word: str = WORD) -> Column:
     """Which of the phrases stand in the text as whole words, in any case, each once.
 
@@ -37,7 +42,7 @@ def found_phrases(text: Column, listed: Sequence[str], word: str = WORD) -> Colu
     def runs(t: Column) -> Column:
         return F.concat(*[t if m == 1 else of(t, m) for m in sizes]) if sizes else F.array().cast("array<string>")
 
-    hit = F.array_intersect(F.get(F.transform(F.array(tokens), runs), F.lit(0)), F.array(*map(F.lit, plain)))
+    hit = F.array_intersect(F.get(F.transform(F.array(tokens), runs), F.lit(0)), strings(plain))
     for p in odd:
         hit = F.when(F.lower(text).rlike(f"(?:^|[^{word}]){re.sub(r'([+.*?()|$^])', r'\\\1', p)}[{word}]"), F.concat(hit, F.array(F.lit(p)))).otherwise(hit)
     return hit
@@ -72,7 +77,7 @@ def relevance(
     df = df.withColumn("_title", found_phrases(t, every, word))
     df = df.withColumn("_desc", found_phrases(d, every, word) if description else F.array().cast("array<string>"))
     df = df.withColumn("_both", found_phrases(F.concat(t, F.lit(" "), d), every, word) if description else F.col("_title"))
-    lits = lambda listed: F.array(*[F.lit(p.lower()) for p in listed])
+    lits = lambda listed: strings([p.lower() for p in listed])
     entries = []
     for nth, (name, listed) in enumerate(categories.items()):
         n_title, n_desc = (F.size(F.array_intersect(c, lits(listed))) for c in ("_title", "_desc"))

@@ -262,7 +262,7 @@ _WIRE = lambda k: f"(['" + "', '".join(WIRES) + f"'])[(doc_id * {k} + doc_id //
 
 
 def _wires(spark, sf):
-    one = lambda k: F.get(F.array(*map(F.lit, WIRES)), ((F.col("doc_id") * k + F.floor(F.col("doc_id") / 50)) % len(WIRES)).cast("int"))
+    one = lambda k: F.get(rules.strings(WIRES), ((F.col("doc_id") * k + F.floor(F.col("doc_id") / 50)) % len(WIRES)).cast("int"))
     return table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", F.concat(one(1), F.lit(" "), one(7)).alias("title"))
 
 
@@ -328,7 +328,7 @@ def _category_sql() -> str:
 @query(_category_sql())
 def gold_relevance(spark, sf):
     """All categories of the domain on headlines and descriptions made of their phrases."""
-    pick = lambda k: F.get(F.array(*map(F.lit, _POOL)), ((F.col("doc_id") * k + F.floor(F.col("doc_id") / 100)) % len(_POOL)).cast("int"))
+    pick = lambda k: F.get(rules.strings(_POOL), ((F.col("doc_id") * k + F.floor(F.col("doc_id") / 100)) % len(_POOL)).cast("int"))
     df = table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", F.concat(pick(1), F.lit(" and "), pick(3)).alias("t"), F.concat(pick(11), F.lit(", "), pick(17)).alias("d"))
     out = rules.relevance(df, "t", "d")
     return out.select("doc_id", "primary_category", F.array_join("supporting_categories", ",").alias("supporting"), *R.DIMENSIONS, "relevance_score", "is_relevant")
