@@ -5,7 +5,8 @@ Each stateful operator has a batch equivalent over the same rows; tests hold the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,36 +64,136 @@ def sane(ts: Column, now: Column, future: str = "15 minutes", keep: str = "72 ho
 
 
 class ChangeOrHeartbeat(StatefulProcessor):
-    """Emits a key's row when its price moved by more than `least` since the row last emitted, or
-    when `heartbeat` seconds of event time have passed since then (None: never)."""
+    """Emits a key's row when its price moved by more than `least` since the row last emitted, when
+    the row is quarantined, or when `heartbeat` seconds of event time have passed since then (None:
+    never). With `timer` seconds, a key that falls silent repeats its last row by processing time.
+    """
 
-    def __init__(self, least: float = 1e-4, heartbeat: float | None = None) -> None:
-        self.least, self.heartbeat = least, heartbeat
+    def __init__(self, least: float = 1e-4, heartbeat: float | None = None, timer: float | None = None) -> None:
+        self.least, self.heartbeat, self.timer = least, heartbeat, timer
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "price double, at double")
+        self.handle = handle
+        self.last = handle.getValueState("last", "id long, price double, at double")
+
+    def _made(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", "id", "price", "at", "why"]).astype({"key": "int64", "id": "int64", "price": "float64", "at": "float64"})
+
+    def _arm(self, now_ms: int) -> None:
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(now_ms + int(self.timer * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         df = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
         state = self.last.get() if self.last.exists() else None
-        price, at = state if state else (None, None)
+        price, at = state[1:] if state else (None, None)
         out = []
         for r in df.itertuples(index=False):
-            if price is None or abs(r.price - price) > self.least or (self.heartbeat is not None and r.at - at >= self.heartbeat):
+            quarantined = bool(getattr(r, "quarantined", False))
+            moved = price is None or abs(r.price - price) > self.least
+            if quarantined:  # told, but never a price that others are compared with
+                out.append((int(key[0]), int(r.id), float(r.price), float(r.at), "QUARANTINED"))
+            elif moved or (self.heartbeat is not None and r.at - at >= self.heartbeat):
                 price, at = float(r.price), float(r.at)
-                out.append((int(key[0]), int(r.id), price, at))
-        if out:
-            self.last.update((price, at))
-        yield pd.DataFrame(out, columns=["key", "id", "price", "at"]).astype({"key": "int64", "id": "int64", "price": "float64", "at": "float64"})
+                out.append((int(key[0]), int(r.id), price, at, "CHANGE" if moved else "HEARTBEAT"))
+                self.last.update((int(r.id), price, at))
+        if self.timer is not None:
+            self._arm(timerValues.getCurrentProcessingTimeInMs())
+        yield self._made(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.last.exists():
+            n, price, at = self.last.get()
+            self._arm(timerValues.getCurrentProcessingTimeInMs())
+            yield self._made([(int(key[0]), n, price, at, "TIMER")])
+
+    def close(self) -> None:
+        pass
+
+
+class PartialFrames(StatefulProcessor):
+    """Emits each frame with its empty fields taken from the frames before of its type and symbol."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.fields = handle.getValueState("fields", "fields array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        have = list(self.fields.get()[0]) if self.fields.exists() else []
+        out = []
+        for r in pd.concat(list(rows)).sort_values("id", kind="stable").itertuples(index=False):
+            new = list(r.fields)
+            have = [new[i] if i < len(new) and new[i] != "" else (have[i] if i < len(have) else "") for i in range(max(len(new), len(have)))]
+            out.append((key[0], int(r.id), list(have)))
+        self.fields.update((have,))
+        yield pd.DataFrame(out, columns=["key", "id", "fields"])
 
     def close(self) -> None:
         pass
 
 
-def change_filter(stream: DataFrame, least: float = 1e-4, heartbeat: float | None = None) -> DataFrame:
-    """stream(key long, id long, price double, at double) -> the rows that are news."""
+def merged_frames(stream: DataFrame) -> DataFrame:
+    """stream(key string, id long, fields array<string>) -> the same with whole fields."""
+    return stream.groupBy("key").transformWithStateInPandas(PartialFrames(), outputStructType="key string, id long, fields array<string>", outputMode="Append", timeMode="None")
+
+
+def merged_frames_batch(df: DataFrame) -> DataFrame:
+    """The same over a finished table: each place keeps its last field that is not empty."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("key", "pos").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    most = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    wide = df.withColumn("n", F.max(F.size("fields")).over(most))
+    cells = wide.select("key", "id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("fields", i))).alias("pos", "cell"))
+    kept = cells.withColumn("cell", F.coalesce(F.last(F.when(F.col("cell") != "", F.col("cell")), ignorenulls=True).over(w), F.lit("")))
+    return kept.groupBy("key", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "cell"))).alias("c")).select("key", "id", F.transform("c", lambda x: x["cell"]).alias("fields"))
+
+
+def cache_accepts(price: Column, status: Column, published: Column, observed: Column, identity: Column, low: float, high: float) -> Column:
+    """Whether a rate may replace a cached one: the right identity, valid, within bounds, not of the future.
+    One that may not leaves the cached rate as it is."""
+    return F.coalesce(identity & (status == "VALID") & price.between(low, high) & (published.isNull() | (published <= observed)), F.lit(False))
+
+
+def cached_rates(rates: DataFrame, key: list[str], order: list[str], accepted: Column) -> DataFrame:
+    """The cache after all rates: each key's last accepted one with the accepted one before and the change."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*key).orderBy(*order)
+    back = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
+    x = rates.where(accepted).withColumn("previous", F.coalesce(F.lag("price").over(w), F.col("price"))).withColumn("_nth", F.row_number().over(back)).where("_nth = 1").drop("_nth")
+    return x.withColumn("change", F.round(F.col("price") - F.col("previous"), 2)).withColumn("change_pct", F.when(F.col("previous") > 0, F.round(F.round(F.col("price") - F.col("previous"), 2) / F.col("previous") * 100, 4)).otherwise(0.0))
+
+
+def cache_view(cache: DataFrame, now: Column, ttl: float = 3600.0, ts: str = "at") -> DataFrame:
+    """The cache as read at `now`: age in seconds, and whether it is past its time to live."""
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6
+    return cache.withColumn("age_seconds", F.greatest(F.lit(0.0), age)).withColumn("expired", F.col("age_seconds") > ttl)
+
+
+class Snapshots:
+    """For foreachBatch: hands a snapshot on whenever the watermark of the latest rows has moved, and a
+    heartbeat when `heartbeat` seconds passed without one. A batch that is run again says nothing new."""
+
+    def __init__(self, watermark: Callable[[DataFrame], str | None], emit: Callable[[str, object], None], heartbeat: float = 15.0, clock: Callable[[], float] = time.time) -> None:
+        self.watermark, self.emit, self.heartbeat, self.clock = watermark, emit, heartbeat, clock
+        self.seen, self.beat = None, clock()
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        mark = self.watermark(df)
+        if mark is not None and mark != self.seen:
+            self.seen = mark
+            self.emit("snapshot", df)
+        if self.clock() - self.beat >= self.heartbeat:
+            self.beat = self.clock()
+            self.emit("heartbeat", self.beat)
+
+
+def change_filter(stream: DataFrame, least: float = 1e-4, heartbeat: float | None = None, timer: float | None = None) -> DataFrame:
+    """stream(key long, id long, price double, at double, perhaps quarantined boolean) -> the rows that
+    are news, and why."""
     return stream.groupBy("key").transformWithStateInPandas(
-        ChangeOrHeartbeat(least, heartbeat), outputStructType="key long, id long, price double, at double", outputMode="Append", timeMode="None"
+        ChangeOrHeartbeat(least, heartbeat, timer), outputStructType="key long, id long, price double, at double, why string", outputMode="Append", timeMode="None" if timer is None else "ProcessingTime"
     )
 
 
@@ -121,13 +222,23 @@ def stream_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Read all there is now. Append goes to files with exactly-once commits; complete and update
-    overwrite the table with each batch's state."""
+    """Read all there is now. Append goes to files with exactly-once commits, and complete overwrites
+    the table with the whole result. Update writes each batch's changed rows to a folder of their own,
+    which a batch that is run again overwrites; `updated_table` reads the last row of each key."""
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         w.format("parquet").start(path).awaitTermination()
-    else:
+    elif mode == "complete":
         w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    else:
+        w.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")).start().awaitTermination()
+
+
+def updated_table(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """What update mode has written: of each key the row of the last batch that changed it."""
+    df = spark.read.parquet(path)
+    rest = [c for c in df.columns if c not in (*key, "batch")]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*key, "last.*")
 
 
 def latest_by_key(stream: DataFrame, key: list[str], order: list[str], take: list[str]) -> DataFrame:
