@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +21,17 @@ def either_key_dedup(df: DataFrame, first_key: str, second_key: str, order: str)
     work = materialised(df.select(F.col(order).alias("_o"), F.col(first_key).alias("_a"), F.col(second_key).alias("_b")))
     decided = None
     while not work.isEmpty():
-        def least(key: str) -> Column:
-            return F.when(F.col(key).isNotNull(), F.min("_o").over(Window.partitionBy(key))).otherwise(F.col("_o"))
-
-        ready = work.withColumn("_first", least("_a")).withColumn("_second", least("_b"))
-        ready = materialised(ready.withColumn("_accepted", (F.col("_first") == F.col("_o")) & (F.col("_second") == F.col("_o"))))
+        def firsts(key: str) -> DataFrame:
+            """The first row of each key: a sum combined map-side, and rows without a key take no part."""
+            return work.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_key{key}")).agg(F.min("_o").alias(f"_min{key}"))
+
+        ready = work
+        for key in ("_a", "_b"):
+            ready = ready.join(firsts(key), F.col(key) == F.col(f"_key{key}"), "left").drop(f"_key{key}")
+        own = F.lit(True)
+        for key in ("_a", "_b"):
+            own = own & F.coalesce(F.col(f"_min{key}") == F.col("_o"), F.lit(True))
+        ready = materialised(ready.select("_o", "_a", "_b", own.alias("_accepted")))
         won = ready.where("_accepted")
         done = won.select("_o")
         decided = done if decided is None else materialised(decided.unionByName(done))
@@ -38,63 +43,74 @@ def either_key_dedup(df: DataFrame, first_key: str, second_key: str, order: str)
     return df.join(decided.withColumn("accepted", F.lit(True)), F.col(order) == F.col("_o"), "left").drop("_o").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
-def islands(df: DataFrame, ts: str, order: Sequence[str], hours: float = 36, block: Sequence[str] = ()) -> DataFrame:
-    """Adds island: rows with no gap above `hours` between neighbours, within the block columns.
+def _described(df: DataFrame, title: str, ts: str, row_id: str, block: Sequence[str]) -> DataFrame:
+    t = F.col(title)
+    return df.select(
+        *block, F.col(row_id).alias("row_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
+        T.cluster_key(t).alias("key"), T.token_set(t).alias("tokens"), T.signature(t).alias("signature"), T.template_stem(t).alias("stem"),
+    )
 
-    An anchor closes after that time, so no story reaches across islands.
+
+def _probes(df: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """Rows with an array of probes: two that should merge share one.
+
+    Sets of that similarity share one of the rarest n - ceil(least n) + 1 tokens of each; equal keys
+    share themselves.
     """
-    keys = list(block) or [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy(ts, *order)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    fresh = F.coalesce(micros - F.lag(micros).over(w) > hours * 3_600_000_000, F.lit(True))
-    return df.withColumn("island", F.sum(fresh.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    one = df.select("row_id", F.explode(T.key_set(F.col("key"))).alias("token")).join(counts, "token")
+    rare = one.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    n = F.size("t")
+    some = F.transform(F.slice("t", 1, F.greatest(F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)), lambda x: x["token"])
+    rare = rare.select(F.col("row_id").alias("_of"), some.alias("_some"))
+    probes = F.concat(F.array(F.concat(F.lit("="), F.col("key"))), F.coalesce("_some", F.array().cast("array<string>")))
+    return df.join(rare, F.col("row_id") == F.col("_of"), "left").withColumn("probes", probes).drop("_of", "_some")
+
+
+def _pairs(old: DataFrame, new: DataFrame, span: int, least: float, block: Sequence[str], both_ways: bool) -> DataFrame:
+    """a, b, score: rows b of new with the rows a of old that they should merge with, at most `span`
+    microseconds before them (both_ways: or after). Probes in time buckets pair them."""
+    counts = old.select("key").unionByName(new.select("key")).select(F.explode(T.key_set(F.col("key"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.floor(F.col("at") / span)
+    names = ("row_id", "at", "key", "tokens")
+    a = _probes(old, counts, least).select(*[F.col(c).alias(f"a_{c}") for c in (*names, *block)], F.explode("probes").alias("probe"), bucket.alias("bucket"))
+    b = _probes(new, counts, least).select(*[F.col(c).alias(f"b_{c}") for c in (*names, *block)], F.explode("probes").alias("b_probe"), F.explode(F.array(*[bucket - k for k in ((0, 1, -1) if both_ways else (0, 1))])).alias("b_bucket"))
+    cond = (F.col("probe") == F.col("b_probe")) & (F.col("bucket") == F.col("b_bucket"))
+    for c in block:
+        cond = cond & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    before = F.col("b_at") - F.col("a_at")
+    cond = cond & ((F.abs(before) <= span) if both_ways else (before <= span) & (F.struct("a_at", "a_row_id") < F.struct("b_at", "b_row_id")))
+    met = a.join(b, cond).withColumn("m", T.should_merge(F.col("a_key"), F.col("b_key"), F.col("a_tokens"), F.col("b_tokens"), least)).where("m.merge")
+    return met.select(F.col("a_row_id").alias("a"), F.col("a_at").alias("at"), F.col("b_row_id").alias("b"), F.col("m.score").alias("score")).distinct()
 
 
 def story_clusters(df: DataFrame, title: str, ts: str, row_id: str, hours: float = 36, least: float = 0.70, version: str = "v1", block: Sequence[str] = ()) -> DataFrame:
     """row id, cluster_id, is_recurring: each item joins the best earlier story that opened at most
     `hours` before it and that it should merge with; ties go to the latest.
 
-    A story's origin never moves. An item whose stem equals that of a story outside the span is a
-    recurring bulletin. Items are read in time order within an island; `block` columns (language,
-    say) bound what one task reads where news never pauses.
+    A story's origin never moves, so an item opens one exactly when none that it could join did.
+    That is decided in rounds over the pairs of items that should merge: who has no undecided or
+    opening partner before opens, who has an opening one does not. Rounds grow with the longest chain of
+    such pairs. An item whose stem equals that of a story outside the span is a recurring bulletin.
+    Items of different `block` columns (language, say) never meet. Row ids are unique.
     """
-    t = F.col(title)
-    rows = islands(df, ts, [row_id], hours, block).select(
-        *block, "island", F.col(row_id).alias("row_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
-        T.cluster_key(t).alias("key"), T.token_set(t).alias("tokens"), T.signature(t).alias("signature"), T.template_stem(t).alias("stem"),
-    )
-    entity, up, down, span = set(T.ENTITIES), set(T.UP), set(T.DOWN), int(hours * 3_600_000_000)
-
-    def conflict(a: set[str], b: set[str]) -> bool:
-        differ = a ^ b
-        if any(x in entity or any("0" <= c <= "9" for c in x) for x in differ):
-            return True
-        way = lambda s: (bool(s & up) and not s & down) - (bool(s & down) and not s & up)
-        return way(a) * way(b) < 0
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "row_id"], kind="stable")
-        anchors: list[tuple] = []  # origin, key, small set, tokens, first row
-        out = []
-        for r in rows.itertuples(index=False):
-            tokens = set(r.tokens)
-            small = {x for x in r.key.split(" ") if len(x) > 1}
-            best, chosen = -1.0, None
-            for a in reversed(anchors):
-                if r.at - a[0] > span:
-                    break
-                alike = len(small & a[2]) / len(small | a[2]) if small and a[2] else 0.0
-                if (r.key == a[1] or alike >= least) and not conflict(tokens, a[3]):
-                    score = 1.0 if r.key == a[1] else alike
-                    if score > best:
-                        best, chosen = score, a
-            if chosen is None:
-                chosen = (r.at, r.key, small, tokens, r.row_id)
-                anchors.append(chosen)
-            out.append((r.row_id, chosen[4]))
-        return pd.DataFrame(out, columns=["row_id", "first_id"])
-
-    joined = rows.groupBy(*block, "island").applyInPandas(assign, "row_id long, first_id long")
+    span = int(hours * 3_600_000_000)
+    rows = materialised(_described(df, title, ts, row_id, block))
+    pairs = materialised(_pairs(rows, rows, span, least, block, False))
+    edges, opened, undecided = pairs.select("a", "b"), None, rows.select("row_id")
+    while True:
+        waits = edges.select(F.col("b").alias("row_id")).distinct()
+        new = materialised(undecided.join(waits, "row_id", "left_anti"))
+        opened = new if opened is None else opened.unionByName(new)
+        joins = edges.join(new.select(F.col("row_id").alias("a")), "a", "left_semi").select(F.col("b").alias("row_id")).distinct()
+        joins = materialised(joins)
+        undecided = materialised(undecided.join(new, "row_id", "left_anti").join(joins, "row_id", "left_anti"))
+        # Partners that opened nothing say no more, and who has joined needs no partners.
+        edges = materialised(edges.join(undecided.select(F.col("row_id").alias("a")), "a", "left_semi").join(undecided.select(F.col("row_id").alias("b")), "b", "left_semi"))
+        if undecided.isEmpty():
+            break
+    best = pairs.join(opened.select(F.col("row_id").alias("a")), "a", "left_semi").join(opened.select(F.col("row_id").alias("b")), "b", "left_anti")
+    best = best.groupBy(F.col("b").alias("row_id")).agg(F.max_by("a", F.struct("score", "at", "a")).alias("first_id"))
+    joined = best.unionByName(opened.select("row_id", F.col("row_id").alias("first_id")))
     first = rows.select(F.col("row_id").alias("first_id"), F.col("signature").alias("first_signature"), F.floor(F.col("at") / 86_400_000_000).alias("day"))
     named = joined.join(first, "first_id").join(rows.select("row_id", "at", "stem"), "row_id")
     # Openings of the same wording on one day get a number.
@@ -105,6 +121,42 @@ def story_clusters(df: DataFrame, title: str, ts: str, row_id: str, hours: float
     return named.withColumn("is_recurring", recurring).join(opening.select("first_id", "cluster_id"), "first_id").select("row_id", "cluster_id", "is_recurring")
 
 
+def resolved(items: DataFrame, known: DataFrame, clusters: DataFrame, hours: float = 36, least: float = 0.70) -> DataFrame:
+    """row_id, cluster_id, how: items(row_id, url, title, ts) against what is stored.
+
+    A URL of known(url, cluster_id) keeps its cluster (URL); else the cluster of clusters(row_id,
+    cluster_id, title, ts) within `hours` either way that the item should merge with and is most like,
+    the latest and then the smallest id of equal ones (MATCH); else none (NEW).
+    """
+    span = int(hours * 3_600_000_000)
+    old, new = _described(clusters, "title", "ts", "row_id", ()), _described(items, "title", "ts", "row_id", ())
+    pairs = _pairs(old, new, span, least, (), True).join(clusters.select(F.col("row_id").alias("a"), "cluster_id"), "a")
+    order = Window.partitionBy("b").orderBy(F.desc("score"), F.desc("at"), "cluster_id")
+    best = pairs.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(F.col("b").alias("row_id"), F.col("cluster_id").alias("matched"))
+    by_url = known.groupBy("url").agg(F.min("cluster_id").alias("stored"))
+    out = items.select("row_id", "url").join(by_url, "url", "left").join(best, "row_id", "left")
+    how = F.when(F.col("stored").isNotNull(), "URL").when(F.col("matched").isNotNull(), "MATCH").otherwise("NEW")
+    return out.select("row_id", F.coalesce("stored", "matched").alias("cluster_id"), how.alias("how"))
+
+
+def archive_status(df: DataFrame, order: str, title: str, url: str, published: str, first_seen: str, fixture: Column) -> DataFrame:
+    """Adds status and reason to every archived row, none is left out.
+
+    INVALID without a title, URL or time; SYNTHETIC_FIXTURE; DUPLICATE of an earlier row's canonical URL
+    or of its headline on the same day; VERIFIED_SOURCE with a first sighting of its own, else
+    HISTORICAL_UNVERIFIED_AVAILABILITY. Rows of the first two kinds block no others.
+    """
+    t, u = F.btrim(F.coalesce(title, F.lit(""))), F.btrim(F.coalesce(url, F.lit("")))
+    x = df.withColumn("_bad", (t == "") | (u == "") | F.col(published).isNull()).withColumn("_fixture", F.coalesce(fixture, F.lit(False)))
+    headline = T.normal_headline(F.col(title))
+    keys = x.where("NOT _bad AND NOT _fixture").select(F.col(order).alias("_n"), T.canonical_url(F.col(url)).alias("_u"), F.when(headline != "", F.concat_ws("|", headline, F.to_date(published).cast("string"))).alias("_t"))
+    passed = either_key_dedup(keys, "_u", "_t", "_n").select(F.col("_n").alias(order), "accepted")
+    x = x.join(passed, order, "left")
+    status = F.when(F.col("_bad"), "INVALID").when(F.col("_fixture"), "SYNTHETIC_FIXTURE").when(~F.col("accepted"), "DUPLICATE").when(F.col(first_seen).isNotNull(), "VERIFIED_SOURCE").otherwise("HISTORICAL_UNVERIFIED_AVAILABILITY")
+    why = F.when(F.col("_bad"), "missing fields").when(F.col("_fixture"), "fixture").when(~F.col("accepted"), "same URL or headline of the day").when(F.col(first_seen).isNull(), "no first sighting")
+    return x.withColumn("status", status).withColumn("reason", why).drop("_bad", "_fixture", "accepted")
+
+
 def cluster_labels(df: DataFrame, cluster: str, impact: str, confidence: str, price_report: str, order: Sequence[str]) -> DataFrame:
     """One label for each cluster: both sides make MIXED, else BULLISH, BEARISH, MIXED, NEUTRAL or
     UNKNOWN by what members say; only price reports make NEUTRAL. The first member of the highest

@@ -237,12 +237,57 @@ def story_clusters(spark, sf):
     return stories.story_clusters(_items(spark, sf), "text", "ts", "doc_id", block=["lang"])
 
 
-@query()
+def _in_turn(rows: str) -> str:
+    """CTEs that read rows(n, u, t) one after the other: s(n, accepted) in the end. rows is a CTE's name."""
+    return f"""o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n) AS i, n, md5(u) AS u, md5(t) AS t FROM {rows}),
+    s AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS n, FALSE AS accepted, []::VARCHAR[] AS us, []::VARCHAR[] AS ts UNION ALL
+        SELECT x.i, x.n, x.ok, CASE WHEN x.ok AND x.u IS NOT NULL THEN list_append(x.us, x.u) ELSE x.us END, CASE WHEN x.ok AND x.t IS NOT NULL THEN list_append(x.ts, x.t) ELSE x.ts END
+        FROM (SELECT o.i, o.n, o.u, o.t, s.us, s.ts, NOT coalesce(list_contains(s.us, o.u), FALSE) AND NOT coalesce(list_contains(s.ts, o.t), FALSE) AS ok FROM s JOIN o ON o.i = s.i + 1) x)"""
+
+
+@query(f"""WITH RECURSIVE {_N}, {_ITEMS}, k AS (SELECT i.doc_id AS n, i.source || '/' || e.ts::DATE AS u, n.norm AS t FROM i JOIN n ON n.doc_id = i.doc_id JOIN events e ON e.event_id = i.doc_id), {_in_turn("k")}
+    SELECT n AS doc_id, accepted FROM s WHERE i > 0""")
 def either_key_dedup(spark, sf):
     df = _items(spark, sf).withColumn("title", T.normal_headline(F.col("text"))).withColumn("url", F.concat_ws("/", "source", F.to_date("ts")))
     return stories.either_key_dedup(df.select("doc_id", "url", "title"), "url", "title", "doc_id").select("doc_id", "accepted")
 
 
+_ARCHIVE = """a AS (SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN '' ELSE substr(coalesce(text, ''), 1, 40) END AS title, CASE WHEN doc_id % 29 = 0 THEN NULL ELSE 'https://' || coalesce(source, 'none') || '.example/' || (doc_id % 400) END AS url, CASE WHEN doc_id % 37 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + (doc_id % 5) * INTERVAL 1 DAY END AS published FROM documents WHERE doc_id IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_ARCHIVE}, b AS (SELECT doc_id, title AS text, url, published, trim(title, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' OR url IS NULL OR published IS NULL AS bad, doc_id % 23 = 0 AS fixture FROM a),
+    n AS (SELECT doc_id, {_NORM} AS norm FROM b), k AS (SELECT b.doc_id AS n, url AS u, CASE WHEN norm <> '' THEN norm || '|' || published::DATE END AS t FROM b JOIN n ON b.doc_id = n.doc_id WHERE NOT bad AND NOT fixture), {_in_turn("k")}
+    SELECT b.doc_id, CASE WHEN bad THEN 'INVALID' WHEN fixture THEN 'SYNTHETIC_FIXTURE' WHEN NOT s.accepted THEN 'DUPLICATE' WHEN b.doc_id % 2 = 0 THEN 'VERIFIED_SOURCE' ELSE 'HISTORICAL_UNVERIFIED_AVAILABILITY' END AS status FROM b LEFT JOIN s ON s.n = b.doc_id""")
+def archive_provenance(spark, sf):
+    """The archive's own rules: fields, fixtures, earlier rows of the same URL or headline of the day, sightings."""
+    d = table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    n, blank = F.col("doc_id"), F.lit("")
+    published = F.when(n % 37 == 0, F.lit(None)).otherwise(F.expr("timestamp '2024-01-01' + make_dt_interval(cast(doc_id % 5 as int))"))
+    url = F.when(n % 29 == 0, F.lit(None)).otherwise(F.concat(F.lit("https://"), F.coalesce("source", F.lit("none")), F.lit(".example/"), (n % 400).cast("string")))
+    x = d.select("doc_id", F.when(n % 31 == 0, "").otherwise(F.substring(F.coalesce("text", blank), 1, 40)).alias("title"), url.alias("url"), published.alias("published"), F.when(n % 2 == 0, published).alias("first_seen"))
+    return stories.archive_status(x, "doc_id", "title", "url", "published", "first_seen", n % 23 == 0).select("doc_id", "status")
+
+
+_SMALL = "list_distinct(list_filter(string_split({0}, ' '), lambda x: length(x) > 1))"
+
+
+@query(f"""WITH {_K}, j AS (SELECT k.doc_id, k.key, k.tok, {_SMALL.format("k.key")} AS small, e.ts FROM k JOIN events e ON e.event_id = k.doc_id),
+    p AS (SELECT n.doc_id AS n, c.doc_id AS c, c.ts, n.key = c.key AS same, CASE WHEN len(n.small) = 0 OR len(c.small) = 0 THEN 0.0 ELSE len(list_intersect(n.small, c.small))::DOUBLE / len(list_distinct(list_concat(n.small, c.small))) END AS alike,
+        list_concat(list_filter(n.tok, lambda x: NOT list_contains(c.tok, x)), list_filter(c.tok, lambda x: NOT list_contains(n.tok, x))) AS diff, n.tok AS nt, c.tok AS ct
+        FROM j n JOIN j c ON n.doc_id % 3 <> 0 AND c.doc_id % 3 = 0 AND abs(epoch_us(n.ts) - epoch_us(c.ts)) <= 10::BIGINT * 86400000000 AND (n.key = c.key OR len(list_intersect(n.small, c.small)) > 0)),
+    m AS (SELECT n, c, ts, CASE WHEN same THEN 1.0 ELSE alike END AS score FROM p WHERE (same OR alike >= 0.7) AND NOT (len(list_filter(diff, lambda x: regexp_matches(x, '[0-9]') OR x IN ({_IN(T.ENTITIES)}))) > 0
+        OR (len(list_filter(nt, lambda x: x IN ({_IN(T.UP)}))) > 0 AND len(list_filter(nt, lambda x: x IN ({_IN(T.DOWN)}))) = 0 AND len(list_filter(ct, lambda x: x IN ({_IN(T.DOWN)}))) > 0 AND len(list_filter(ct, lambda x: x IN ({_IN(T.UP)}))) = 0)
+        OR (len(list_filter(nt, lambda x: x IN ({_IN(T.DOWN)}))) > 0 AND len(list_filter(nt, lambda x: x IN ({_IN(T.UP)}))) = 0 AND len(list_filter(ct, lambda x: x IN ({_IN(T.UP)}))) > 0 AND len(list_filter(ct, lambda x: x IN ({_IN(T.DOWN)}))) = 0))),
+    b AS (SELECT n, 'c' || c AS cluster_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, ts DESC, 'c' || c) AS nth FROM m)
+    SELECT j.doc_id AS row_id, CASE WHEN j.doc_id % 7 = 0 THEN 'u' || j.doc_id ELSE b.cluster_id END AS cluster_id, CASE WHEN j.doc_id % 7 = 0 THEN 'URL' WHEN b.n IS NOT NULL THEN 'MATCH' ELSE 'NEW' END AS how FROM j LEFT JOIN b ON b.n = j.doc_id AND nth = 1 WHERE j.doc_id % 3 <> 0""")
+def stored_clusters(spark, sf):
+    """Items against stored clusters: by URL, else the most alike within ten days either way."""
+    x = _items(spark, sf).select(F.col("doc_id").alias("row_id"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("title"), "ts")
+    known = x.where("row_id % 7 = 0").select("url", F.col("url").alias("cluster_id"))
+    clusters = x.where("row_id % 3 = 0").select("row_id", F.concat(F.lit("c"), F.col("row_id").cast("string")).alias("cluster_id"), "title", "ts")
+    return stories.resolved(x.where("row_id % 3 <> 0"), known, clusters, hours=240)
+
+
 @query("""
     WITH k AS (SELECT doc_id, source, lang, md5('review:' || doc_id) AS m FROM documents), l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY m, doc_id) > 10 AS late FROM k),
     t AS (SELECT *, row_number() OVER (PARTITION BY lang, late ORDER BY m, doc_id) AS turn FROM l)
