@@ -29,6 +29,7 @@ LANGUAGES = {
 #: Parameters that only track a click.
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid")
 
+#: Names of months and days.
 MONTHS_DAYS = r"\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|monday|tuesday|wednesday|thursday|friday|saturday|sunday|today|yesterday)\b"
 _SPACES = r"[ \t\n\x0b\f\r]+"
 
@@ -113,6 +114,39 @@ def canonical_url(url: Column) -> Column:
     return F.when(raw == "", "").otherwise(F.concat(F.when(scheme == "", "https").otherwise(scheme), F.lit("://"), host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
 
 
+#: How the names of tracking parameters begin, for the normaliser that keeps the order.
+TRACKING_PREFIXES = ("utm_", "oc", "ref", "src", "fbclid", "gclid")
+
+
+def plain_url(url: Column) -> Column:
+    """Lower-case scheme and host, no trailing slash, fragment or tracking; other parameters in their order.
+
+    Parameters without a value go; percent-encodings stay as they are.
+    """
+    raw = F.btrim(url)
+    scheme = F.lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    host = F.lower(F.regexp_extract(raw, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_replace(F.regexp_extract(raw, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
+    params = F.split(F.regexp_extract(raw, r"^[^?#]*\?([^#]*)", 1), "&")
+    query = F.array_join(F.filter(params, lambda p: p.rlike("^[^=]+=.") & ~F.lower(p).rlike(f"^(?:{'|'.join(TRACKING_PREFIXES)})")), "&")
+    out = F.concat(scheme, F.lit("://"), host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(scheme == "", F.lower(raw)).otherwise(out)
+
+
+def plain_title(title: Column) -> Column:
+    """Lower case, without the publisher behind a dash and without punctuation, white space squeezed."""
+    text = F.lower(F.btrim(title, F.lit(" \t\n\x0b\f\r")))
+    text = F.regexp_replace(text, r"[ \t\n\x0b\f\r]+[-|–—][ \t\n\x0b\f\r]+[A-Za-z0-9 \t\n\x0b\f\r.&]+$", "")
+    text = F.regexp_replace(text, r"[^\p{L}\p{N}_ \t\n\x0b\f\r]", "")
+    return F.btrim(F.regexp_replace(text, _SPACES, " "))
+
+
+def json_rows(html: Column, name: str, schema: str) -> Column:
+    """The rows of every JSON array that a page's scripts assign to `name`; what doesn't parse is left out."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?s)\b{name}\s*=\s*(\[\s*\{{.*?\}}\s*\])"), F.lit(1))
+    return F.flatten(F.filter(F.transform(found, lambda x: F.from_json(x, f"array<struct<{schema}>>")), lambda x: x.isNotNull()))
+
+
 def fingerprint(title: Column, host: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", normal_headline(title), host).cast("binary"), 256), 1, 32)
 

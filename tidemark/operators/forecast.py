@@ -230,3 +230,41 @@ def fit_trees(df: DataFrame, xs: Sequence[str], label: str, order: str, share: f
     early = F.unix_micros(F.col(order).cast("timestamp")) <= cut
     model = GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, seed=1).fit(rows.where(early))
     return model, RegressionEvaluator(labelCol=label).evaluate(model.transform(rows.where(~early)))
+
+
+def delta_ridge(df: DataFrame, key: Sequence[str], order: Sequence[str], feature: str, target: str, alpha: float = 5.0, least: int = 15) -> DataFrame:
+    """Adds predicted: the ridge forecast of the change `target`, fitted on the rows before with a known change.
+
+    One standardised feature, missing ones as zero, a spread under 1e-6 as one, the intercept free and
+    nothing clamped; null before `least` rows. Window sums do it, so a fit costs nothing extra.
+    """
+    x, y = F.coalesce(F.col(feature), F.lit(0.0)), F.col(target)
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    known = lambda c: F.sum(F.when(y.isNotNull(), c)).over(w)
+    n, sx, sy, sxx, sxy = known(F.lit(1.0)), known(x), known(y), known(x * x), known(x * y)
+    mean = sx / n
+    variance = F.greatest(sxx / n - mean * mean, F.lit(0.0))
+    sd = F.when(F.sqrt(variance) < 1e-6, 1.0).otherwise(F.sqrt(variance))
+    weight = (sxy - mean * sy) / sd / (n * variance / (sd * sd) + alpha)
+    return df.withColumn("predicted", F.when(n >= least, sy / n + weight * (x - mean) / sd))
+
+
+def walk_forward_summary(df: DataFrame, group: Sequence[str], actual: str, predicted: str, flat: float = 5.0) -> DataFrame:
+    """Errors and directions of forecast changes by group: mae, rmse, error_std, max_error, directional_pct, brier.
+
+    A flat outcome counts as met by a forecast of less than `flat`; the Brier figure is a function of
+    hits and misses only.
+    """
+    a, p = F.col(actual), F.col(predicted)
+    hit = ((F.signum(a) == F.signum(p)) | ((a == 0) & (F.abs(p) < flat))).cast("double")
+    x = df.where(p.isNotNull() & a.isNotNull()).withColumn("_e", F.round(F.abs(a - p), 2)).withColumn("_hit", hit)
+    return x.groupBy(*group).agg(
+        F.round(F.avg("_e"), 2).alias("mae"), F.round(F.sqrt(F.avg(F.col("_e") * F.col("_e"))), 2).alias("rmse"), F.round(F.stddev_pop("_e"), 2).alias("error_std"), F.max("_e").alias("max_error"),
+        F.round(F.avg("_hit") * 100, 1).alias("directional_pct"), F.round(F.avg((1 - F.col("_hit")) * (1 - F.col("_hit")) * 0.25 + 0.15), 4).alias("brier"), F.count(F.lit(1)).alias("folds"),
+    )
+
+
+def readiness(samples: DataFrame, group: Sequence[str], needed: int) -> DataFrame:
+    """Whether a group has samples enough for a model, and how far it is."""
+    n = samples.groupBy(*group).agg(F.count(F.lit(1)).alias("samples"))
+    return n.withColumn("is_ready", F.col("samples") >= needed).withColumn("progress_pct", F.round(F.col("samples") / needed * 100, 1)).withColumn("status", F.when(F.col("is_ready"), "READY").otherwise("EXPERIMENTAL_DATA_COLLECTION"))

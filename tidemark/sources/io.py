@@ -18,9 +18,12 @@ def require_columns(df: DataFrame, required: Sequence[str], what: str = "input")
     return df
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str], casts: dict[str, str] | None = None) -> DataFrame:
-    """A CSV with a header, read as text and then cast; what doesn't parse becomes null."""
-    df = require_columns(spark.read.csv(path, header=True, multiLine=True, escape='"'), columns, path)
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str], casts: dict[str, str] | None = None, lines_in_cells: bool = False) -> DataFrame:
+    """A CSV with a header, read as text and then cast; what doesn't parse becomes null.
+
+    With lines_in_cells a cell may hold line ends; a file is then read by one task.
+    """
+    df = require_columns(spark.read.csv(path, header=True, multiLine=lines_in_cells, escape='"'), columns, path)
     return df.select(*[F.col(c).try_cast(casts[c]).alias(c) if casts and c in casts else F.col(c) for c in columns])
 
 
@@ -42,7 +45,10 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str | None:
 
 
 def append_new(df: DataFrame, path: str, key: Sequence[str], fmt: str = "parquet") -> None:
-    """Append the rows whose key the table at path doesn't have, one for each key."""
+    """Append the rows whose key the table at path doesn't have, one for each key.
+
+    Reading and appending are two steps: a table has one writer at a time.
+    """
     spark = df.sparkSession
     df = df.dropDuplicates(list(key))
     if exists(spark, path):
@@ -50,6 +56,28 @@ def append_new(df: DataFrame, path: str, key: Sequence[str], fmt: str = "parquet
     df.write.mode("append").format(fmt).save(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """Append to a folder of CSV files, each with the header."""
+    df.write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
+def write_report(df: DataFrame, path: str, most: int = 10_000) -> int:
+    """A report, which is small, as one JSON-lines file in the folder; more than `most` rows are an error."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a report has {most} rows at most")
+    df.coalesce(1).write.mode("overwrite").json(path)
+    return n
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
+    """A database table, read by `parts` tasks over ranges of a numeric column where one is named."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if column:
+        reader = reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    return reader.load()
+
+
 def split_write(df: DataFrame, condition: Column, good: str, bad: str) -> None:
     """Rows that meet the condition to one place, the others (nulls too) to another."""
     ok = F.coalesce(condition, F.lit(False))
