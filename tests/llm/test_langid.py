@@ -82,3 +82,43 @@ def test_awkward_rows(spark):
     assert {r.lang_pred for r in L.predict(docs, {}).collect()} == {"und"}
     kept = L.predict(docs, models, accepted_only=True)
     assert kept.columns == docs.columns and kept.count() == sum(not r.rejected for r in rows)
+
+
+def test_predictions_against_dictionaries(spark):
+    """The language of whole texts is that of the least cross-entropy by plain dictionaries."""
+    rng = random.Random(8)
+    alphabets = {"aa": "abcde ", "bb": "cdefg ", "cc": "efgha "}
+    text = lambda k, n: "".join(rng.choice(alphabets[k]) for _ in range(n))
+    rows = [(i, text(k, rng.randint(40, 200)), k) for i, k in enumerate(list(alphabets) * 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = L.fit(docs)
+    plain = {}
+    for k in alphabets:
+        words = Counter()
+        for _, t, lang in rows:
+            if lang == k:
+                words.update(L.letters(t))
+        plain[k] = brute_model(words)
+    asked = [(i, text(rng.choice("abc") * 2, 60) + text(rng.choice("abc") * 2, rng.randint(0, 300))) for i in range(40)]
+    got = {r.doc_id: r for r in L.predict(spark.createDataFrame(asked, "doc_id long, text string"), fitted).collect()}
+    for i, t in asked:
+        found = L.letters(t)
+        n = sum((len(w) + 1) * c for w, c in found.items())
+        bits = {k: -sum(score(w) * c for w, c in found.items()) / n for k, score in plain.items()}
+        assert got[i].lang_pred == min(bits, key=bits.get) and math.isclose(got[i].bits, min(bits.values()), rel_tol=1e-9)
+
+
+def test_many_languages_and_wrong_labels(spark):
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    rows = [(i, " ".join(word(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}xyz") for _ in range(30)), f"l{i:03}") for i in range(600)]
+    assert len(L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), most_rows=1)) == 600
+    # A few wrong labels leave the bound where it was: texts of no language still go.
+    good = [(i, " ".join(word("aeinrst") for _ in range(60)), "en") for i in range(200)]
+    junk = [(1000 + i, " ".join(word("qxzjkw") for _ in range(60)), "en") for i in range(4)]
+    fitted = L.fit(spark.createDataFrame(good + junk, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([("щюя " * 60,), (" ".join(word("aeinrst") for _ in range(60)),)], "text string")
+    assert [r.rejected for r in L.predict(asked, fitted).collect()] == [True, False]
+    # The bound on characters keeps the first document of a language, however long.
+    long = [(1, "abc " * 5_000, "aa"), (2, "xyz " * 5_000, "aa")]
+    assert set(L.fit(spark.createDataFrame(long, "doc_id long, text string, lang string"), most_chars=100)) == {"aa"}

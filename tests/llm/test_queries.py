@@ -120,3 +120,41 @@ def test_pipeline_stages(spark):
 def test_pipeline_run(spark):
     out = C.run(spark, SF)
     assert out.count() > 0 and "ids_crc32" in out.columns
+
+
+def test_empty_tables_and_stages(spark):
+    """Every stage makes an empty table of the same columns of one."""
+    import corpus_pipeline as C
+
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in C.STAGES:
+        out = stage(spark, empty, "")
+        assert out.count() == 0
+        if name != C.STAGES[-1][0]:
+            assert out.columns == empty.columns
+
+
+def test_mixed_rows_against_a_plain_pass(spark):
+    """Every source is read in the order of its keys until its budget is used up; reruns agree."""
+    import hashlib
+
+    from tidemark.llm.mixing import mixed
+
+    rows = texts()
+    runs = [mixed(documents(spark, some).repartition(n)).collect() for some, n in ((rows, 1), (rows[::-1], 3))]
+    assert key((r.doc_id, r.text, r.source) for r in runs[0]) == key((r.doc_id, r.text, r.source) for r in runs[1])
+    size = lambda t: len([w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in t or "").split(" ") if w])
+    sizes = collections.Counter()
+    for _, t, _, source in rows:
+        sizes[source] += size(t)
+    targets = brute_targets(sizes)
+    want = collections.Counter()
+    for source in sizes:
+        mine = sorted((hashlib.md5(f"mix:{'null' if i is None else i}".encode()).hexdigest(), i is None, i or 0, size(t), t) for i, t, _, s in rows if s == source)
+        passes, rest = divmod(int(targets[source] + 1e-9), sizes[source]) if sizes[source] else (0, 0)
+        for _, none, i, n, t in mine:
+            part = max(0, min(n, rest))
+            rest -= part
+            want[(None if none else i, n, source)] += passes + (2 * part >= n) if n else 0
+    got = collections.Counter((r.doc_id, size(r.text), r.source) for r in runs[0])
+    assert {k: v for k, v in want.items() if v} == dict(got)

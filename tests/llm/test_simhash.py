@@ -88,3 +88,19 @@ def test_large_buckets_and_chains(spark):
         ra, rb = find(a), find(b)
         parent[max(ra, rb)] = min(ra, rb)
     assert {v: got.get(v, v) for v in fps} == {v: find(v) for v in fps}
+
+
+def test_buckets_around_the_switch(spark):
+    """Buckets of 16, 17 and 65 values give the components of all pairs, whichever way they are compared."""
+    rng = np.random.default_rng(2)
+    for size in (16, 17, 65):
+        base = int(rng.integers(0, 2**62))
+        fps = {base}
+        while len(fps) < size:
+            a, b, c = (1 << int(x) for x in rng.choice(range(0, 64, 7), 3, replace=False))
+            fps.add(base ^ a ^ b if len(fps) % 3 else base ^ a ^ b ^ c ^ (1 << int(rng.integers(1, 6))))
+        signed = [v - (v >> 63 << 64) for v in fps]
+        links = S.hamming_links(spark.createDataFrame([(v,) for v in signed], "fp long"))
+        got = {r.node: r.root for r in S.connected(links).collect()}
+        want = {i: least for i, _, least in brute_components([(v, v % (1 << 64)) for v in signed])}
+        assert all(got.get(v, v) == want[v] for v in signed)
