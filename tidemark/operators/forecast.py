@@ -219,17 +219,37 @@ def with_p_values(df: DataFrame, statistic: str = "statistic", n: str = "n") ->
 def fit_trees(df: DataFrame, xs: Sequence[str], label: str, order: str, share: float = 0.8, least: int = 50, trees: int = 300, depth: int = 4):
     """A boosted regressor on the first `share` of rows in order, and its RMSE on the rest; None below `least` rows."""
     from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    split = _early_and_late(df, xs, label, order, share, least)
+    if split is None:
+        return None
+    model = GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, seed=1).fit(split[0])
+    return model, RegressionEvaluator(labelCol=label).evaluate(model.transform(split[1]))
+
+
+def fit_classes(df: DataFrame, xs: Sequence[str], label: str, order: str, share: float = 0.8, least: int = 50, trees: int = 300, depth: int = 4):
+    """A forest of classes (0, 1, 2 ...) on the first `share` of rows in order, and its accuracy on the rest; None below `least` rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    split = _early_and_late(df, xs, label, order, share, least)
+    if split is None:
+        return None
+    model = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=1).fit(split[0])
+    return model, MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(model.transform(split[1]))
+
+
+def _early_and_late(df: DataFrame, xs: Sequence[str], label: str, order: str, share: float, least: int) -> tuple[DataFrame, DataFrame] | None:
+    from pyspark.ml.feature import VectorAssembler
+
     df = df.dropna(subset=[*xs, label])
     if df.count() < least:
         return None
     cut = df.select(F.unix_micros(F.col(order).cast("timestamp")).alias("t")).approxQuantile("t", [share], 0.001)[0]
     rows = VectorAssembler(inputCols=list(xs), outputCol="features").transform(df)
     early = F.unix_micros(F.col(order).cast("timestamp")) <= cut
-    model = GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, seed=1).fit(rows.where(early))
-    return model, RegressionEvaluator(labelCol=label).evaluate(model.transform(rows.where(~early)))
+    return rows.where(early), rows.where(~early)
 
 
 def delta_ridge(df: DataFrame, key: Sequence[str], order: Sequence[str], feature: str, target: str, alpha: float = 5.0, least: int = 15) -> DataFrame:
