@@ -94,3 +94,15 @@ def test_every_id_lies_in_one_piece(spark, block):
 def test_empty_table_and_repeated_rows(spark):
     assert pack(spark.createDataFrame([], SCHEMA)).collect() == []
     assert pack(documents(spark, [(1, None, None, None), (1, None, None, None), (None, "", None, None)])).count() == 3
+
+
+def test_ids_over_the_latin_range():
+    import random
+
+    from tidemark.llm.tokens import default_vocabulary, tokens
+
+    rng, t = random.Random(14), tokens(default_vocabulary())
+    assert t.ranked
+    for _ in range(3_000):
+        text = "".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(9, 592), 32, 10, 39, 0x2019])) for _ in range(rng.randint(0, 30)))
+        assert t.ids(text).tolist() == t.exact.encode(text, add_special_tokens=False).ids, repr(text)

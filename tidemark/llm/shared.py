@@ -22,7 +22,7 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """This application's folder in what driver and executors share: spark.checkpoint.dir.
 
     Only a local master, which has no other machine, may leave it unset; it then gets
     a temporary folder. A cluster without the setting is an error.
@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
         # In full, so that Python's file systems and Hadoop's mean the same place.
         path = spark._jvm.org.apache.hadoop.fs.Path(found)
         whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        return re.sub(r"^file:/+", "file:///", whole).rstrip("/") + "/tidemark"
+        return re.sub(r"^file:/+", "file:///", whole).rstrip("/") + f"/tidemark/{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return _own_folder()
@@ -54,7 +54,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def purge(spark: SparkSession) -> None:
-    """Delete the tables and files that operators have left in the shared folder."""
+    """Delete the tables and files that operators of this application have left; those of others stay."""
     jvm, root = spark._jvm, shared_folder(spark)
     path = jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -41,6 +41,12 @@ class Tokens:
         self.exact = Tokenizer.from_file(path)
         self.plain = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = tuple(special)
+        # The merge ranks say the same only for plain byte-level BPE; any other file goes through its own library.
+        before, model = saved.get("pre_tokenizer") or {}, saved["model"]
+        self.ranked = (
+            saved.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+            and model.get("type") == "BPE" and not model.get("ignore_merges") and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        )
         #: By id: whether a sentence can end with this token.
         self.ends = np.zeros(max(max(ranks.values()), *special.values(), 0) + 1, bool)
         for k, v in ranks.items():
@@ -48,7 +54,7 @@ class Tokens:
 
     def ids(self, text: str) -> np.ndarray:
         """As tokenizers encodes the text with add_special_tokens=False."""
-        if not any(s in text for s in self.special) and _latin(text):
+        if self.ranked and not any(s in text for s in self.special) and _latin(text):
             return np.array(self.plain.encode_ordinary(text), np.uint32)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 

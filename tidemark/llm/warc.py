@@ -47,6 +47,8 @@ def _whole_file(uri: str):
     own = f"{path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
     with system.open_output_stream(own, compression=None) as f:
         yield f
+    if system.get_file_info(path).type.name != "NotFound":
+        system.delete_file(path)  # of an attempt before; not every store moves onto a file
     system.move(own, path)
 
 
@@ -216,8 +218,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("archive").mapInArrow(run, READ)
 
 
-def _one_task_each(archives: DataFrame) -> DataFrame:
-    return archives.repartitionByRange(max(1, archives.count()), "archive")
+def _one_task_each(archives: DataFrame, most: int = 20_000) -> DataFrame:
+    """A task for each archive; beyond `most` archives a task has several, one after the other."""
+    return archives.repartitionByRange(max(1, min(most, archives.count())), "archive")
 
 
 def crawl_archives(pages: DataFrame, least: int = 100, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
