@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from . import langid
 from .ann import nearest
+from .cobucket import co_bucketed, key_bucket
 from .exact_dedup import exact_dedup
 from .licences import licence_scan
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
 from .pii import personal_data
+from .shared import fresh_path
 from .simhash import hex64, near_duplicates
 from .warc import crawl_archives
 
@@ -70,6 +72,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_cobucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.coalesce(key_bucket(F.col("item_id"), 300), F.lit(0))
+    return co_bucketed(
+        _table(spark, sf_dir, "sales"), _table(spark, sf_dir, "sale_lines"), "sale_id", fresh_path(spark, "cobucket"),
+        left_number=lambda b: F.when(b % 3 == 1, b - 1).otherwise(b), right_number=item, names=("sales", "sale_lines"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -81,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_nearest": op9_nearest,
     "op10_mixing": op10_mixing,
+    "op13_cobucket": op13_cobucket,
 }
 
 ORACLES: dict[str, str] = {
