@@ -16,6 +16,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
 from .pii import personal_data
+from .repair import audits, damaged, repaired_turns
 from .shared import fresh_path
 from .simhash import hex64, near_duplicates
 from .warc import crawl_archives
@@ -72,6 +73,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return audits(repaired_turns(damaged(rows), ids=rows.select("conv_id"))).withColumnRenamed("conv", "conv_id")
+
+
 def op13_cobucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.coalesce(key_bucket(F.col("item_id"), 300), F.lit(0))
     return co_bucketed(
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_nearest": op9_nearest,
     "op10_mixing": op10_mixing,
+    "op11_repair": op11_repair,
     "op13_cobucket": op13_cobucket,
 }
 
