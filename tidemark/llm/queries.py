@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, toxicity
 from .ann import nearest
 from .cobucket import co_bucketed, key_bucket
 from .exact_dedup import exact_dedup
@@ -78,6 +78,13 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits(repaired_turns(damaged(rows), ids=rows.select("conv_id"))).withColumnRenamed("conv", "conv_id")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def op13_cobucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.coalesce(key_bucket(F.col("item_id"), 300), F.lit(0))
     return co_bucketed(
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_mixing": op10_mixing,
     "op11_repair": op11_repair,
+    "op12_toxicity": op12_toxicity,
     "op13_cobucket": op13_cobucket,
 }
 
