@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .shared import columns
+
 LEAST, MOST, BITS = 3, 5, 18
 _PIECE = 1 << 20
 _PRIME, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -227,7 +229,7 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text", threshol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            column = b.column(b.schema.get_field_index(text_col))
+            column = b.column(len(keep))
             total, number = np.zeros(len(column)), np.zeros(len(column))
             texts, lo = [t or "" for t in column.to_pylist()], 0
             while lo < len(texts):  # a few texts at a time, or one long one
@@ -238,7 +240,7 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text", threshol
                 total[lo:hi], number[lo:hi] = _sums(texts[lo:hi], m.weights)
                 lo = hi
             score = 1 / (1 + np.exp(-np.clip(total / np.maximum(number, 1) + m.bias, -500, 500)))
-            cols = [b.column(b.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return documents.mapInArrow(run, StructType([*fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    read = documents.select(*[c.alias(f"c{i}") for i, c in enumerate(columns([*keep, text_col]))])  # whatever characters names have
+    return read.mapInArrow(run, StructType([*fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
