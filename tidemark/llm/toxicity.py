@@ -196,7 +196,7 @@ def _platt(z: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
     return float(slope), float(beta[1] - slope * centre)
 
 
-def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", most_rows: int = 3_000, most_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", most_rows: int = 1_500, most_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most most_rows documents of either label, drawn by a hash of their ids.
 
     Longer documents than most_chars aren't learned from (their texts go to the driver). Null labels and
