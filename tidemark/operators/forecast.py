@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidemark.operators.scan import Series, has_long_keys, number, scanned, shifted, total
+
 ALPHA = 5.0
 #: Neutral band of a log return, smallest residual scale, bounds of a prediction and of a probability.
 NEUTRAL, LEAST_SCALE, MOST_RETURN, LEAST_SURE = 0.0005, 0.004, 0.10, 0.05
@@ -29,17 +31,35 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-12.0), F.least(F.lit(12.0), x))))
 
 
-def ridge_one(df: DataFrame, w: WindowSpec, x: str, y: str, h: int, start: int = 5, least: int = 10, alpha: float = ALPHA) -> DataFrame:
+def _numbered(df: DataFrame, w: WindowSpec | Series) -> DataFrame:
+    """df with _nth, from 0."""
+    if isinstance(w, Series):
+        return scanned(df, w, {"_nth": number()}).withColumn("_nth", F.col("_nth") - 1)
+    return df.withColumn("_nth", F.row_number().over(w) - 1)
+
+
+def _ahead(df: DataFrame, w: WindowSpec | Series, value: str, h: int, name: str) -> DataFrame:
+    return scanned(df, w, {name: shifted(F.col(value), -h)}) if isinstance(w, Series) else df.withColumn(name, F.lead(value, h).over(w))
+
+
+def _past_sums(df: DataFrame, w: WindowSpec | Series, h: int, values: dict[str, Column]) -> DataFrame:
+    """df with a column for each value: its sum over the rows up to h before."""
+    if isinstance(w, Series) and has_long_keys(df, w):
+        moved = scanned(df, w, {"_moved": shifted(F.struct(*[v.alias(n) for n, v in values.items()]), h)})
+        return scanned(moved, w, {n: total(F.col("_moved")[n]) for n in values}).drop("_moved")
+    past = (w.window() if isinstance(w, Series) else w).rowsBetween(Window.unboundedPreceding, -h)
+    return df.select("*", *[F.sum(v).over(past).alias(n) for n, v in values.items()])
+
+
+def ridge_one(df: DataFrame, w: WindowSpec | Series, x: str, y: str, h: int, start: int = 5, least: int = 10, alpha: float = ALPHA) -> DataFrame:
     """Adds n_train and prediction of a ridge model on one standardised feature, in closed form."""
-    nth = F.row_number().over(w) - 1
-    df = df.withColumn("_ok", (nth >= start) & F.col(x).isNotNull() & F.col(y).isNotNull())
-    past = w.rowsBetween(Window.unboundedPreceding, -h)
-    s = lambda c: F.sum(F.when(F.col("_ok"), c)).over(past)
-    n = F.count(F.when(F.col("_ok"), 1)).over(past)
-    df = df.withColumn("n_train", n).withColumn("_x", s(F.col(x)) / n).withColumn("_y", s(F.col(y)) / n)
-    df = df.withColumn("_xx", s(F.col(x) * F.col(x)) / n - F.col("_x") * F.col("_x")).withColumn("_xy", s(F.col(x) * F.col(y)) / n - F.col("_x") * F.col("_y"))
+    df = _numbered(df, w).withColumn("_ok", (F.col("_nth") >= start) & F.col(x).isNotNull() & F.col(y).isNotNull())
+    s = lambda c: F.when(F.col("_ok"), c)
+    df = _past_sums(df, w, h, {"_n": s(F.lit(1)), "_sx": s(F.col(x)), "_sy": s(F.col(y)), "_sxx": s(F.col(x) * F.col(x)), "_sxy": s(F.col(x) * F.col(y))})
+    df = df.withColumn("n_train", F.coalesce("_n", F.lit(0).cast("long"))).withColumn("_x", F.col("_sx") / F.col("_n")).withColumn("_y", F.col("_sy") / F.col("_n"))
+    df = df.withColumn("_xx", F.col("_sxx") / F.col("_n") - F.col("_x") * F.col("_x")).withColumn("_xy", F.col("_sxy") / F.col("_n") - F.col("_x") * F.col("_y"))
     slope = F.when(F.col("_xx") > 1e-24, F.col("n_train") * F.col("_xy") / (F.col("_xx") * (F.col("n_train") + alpha))).otherwise(0.0)
-    return df.withColumn("prediction", F.when(F.col("n_train") >= least, F.col("_y") + (F.col(x) - F.col("_x")) * slope)).drop("_ok", "_x", "_y", "_xx", "_xy")
+    return df.withColumn("prediction", F.when(F.col("n_train") >= least, F.col("_y") + (F.col(x) - F.col("_x")) * slope)).drop("_nth", "_ok", "_n", "_sx", "_sy", "_sxx", "_sxy", "_x", "_y", "_xx", "_xy")
 
 
 def _solve(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, sy: np.ndarray, sxy: np.ndarray, syy: np.ndarray, x: np.ndarray, least: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -63,21 +83,21 @@ def _solve(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, sy: np.ndarray, sxy:
     return np.where(ok, out, np.nan), np.where(ok, up, np.nan)
 
 
-def ridge_many(df: DataFrame, w: WindowSpec, xs: Sequence[str], y: str, h: int, start: int = 5, least: int = 10, alpha: float = ALPHA, usable: Column | None = None) -> DataFrame:
+def ridge_many(df: DataFrame, w: WindowSpec | Series, xs: Sequence[str], y: str, h: int, start: int = 5, least: int = 10, alpha: float = ALPHA, usable: Column | None = None) -> DataFrame:
     """Adds n_train, prediction and up_score of a ridge model on standardised features.
 
     Features without variance are left out, the intercept is free, predictions stay within
     MOST_RETURN and the score within LEAST_SURE of 0 and 1. usable: rows that train and forecast.
     """
-    k, nth = len(xs), F.row_number().over(w) - 1
+    k = len(xs)
     can = F.lit(True) if usable is None else F.coalesce(usable, F.lit(False))
     known = can
     for c in (*xs,):
         known = known & F.col(c).isNotNull()
-    df = df.withColumn("_can", known).withColumn("_ok", known & (nth >= start) & F.col(y).isNotNull())
-    past = w.rowsBetween(Window.unboundedPreceding, -h)
-    s = lambda c: F.coalesce(F.sum(F.when(F.col("_ok"), c)).over(past), F.lit(0.0))
-    sums = [s(F.lit(1.0)), s(F.col(y)), s(F.col(y) * F.col(y)), *[s(F.col(a)) for a in xs], *[s(F.col(a) * F.col(y)) for a in xs], *[s(F.col(xs[i]) * F.col(xs[j])) for i in range(k) for j in range(i, k)]]
+    df = _numbered(df, w).withColumn("_can", known).withColumn("_ok", known & (F.col("_nth") >= start) & F.col(y).isNotNull())
+    terms = [F.lit(1.0), F.col(y), F.col(y) * F.col(y), *[F.col(a) for a in xs], *[F.col(a) * F.col(y) for a in xs], *[F.col(xs[i]) * F.col(xs[j]) for i in range(k) for j in range(i, k)]]
+    names = [f"_s{i}" for i in range(len(terms))]
+    df = _past_sums(df, w, h, {n: F.when(F.col("_ok"), c.cast("double")) for n, c in zip(names, terms)})
 
     @F.pandas_udf("prediction double, up_score double")
     def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -92,13 +112,13 @@ def ridge_many(df: DataFrame, w: WindowSpec, xs: Sequence[str], y: str, h: int,
             p, up = _solve(m[:, 0], m[:, 3 : 3 + k], sxx, m[:, 1], m[:, 3 + k : 3 + 2 * k], m[:, 2], np.nan_to_num(now), least, alpha)
             yield pd.DataFrame({"prediction": p, "up_score": up})
 
-    df = df.withColumn("_sums", F.array(*sums)).withColumn("_x", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in xs]))
+    df = df.withColumn("_sums", F.array(*[F.coalesce(n, F.lit(0.0)) for n in names])).drop(*names).withColumn("_x", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in xs]))
     df = df.withColumn("_r", solve("_sums", "_x")).withColumn("n_train", F.get("_sums", F.lit(0)).cast("int"))
     keep = lambda c: F.when(F.col("_can") & ~F.isnan(F.col(f"_r.{c}")), F.col(f"_r.{c}"))
-    return df.withColumn("prediction", keep("prediction")).withColumn("up_score", keep("up_score")).drop("_sums", "_x", "_r", "_ok", "_can")
+    return df.withColumn("prediction", keep("prediction")).withColumn("up_score", keep("up_score")).drop("_sums", "_x", "_r", "_nth", "_ok", "_can")
 
 
-def arms(df: DataFrame, w: WindowSpec, value: str, price: Sequence[str], news: Sequence[str], covered: str, horizons: Sequence[int]) -> DataFrame:
+def arms(df: DataFrame, w: WindowSpec | Series, value: str, price: Sequence[str], news: Sequence[str], covered: str, horizons: Sequence[int]) -> DataFrame:
     """Four forecasts of each origin and horizon: NO_CHANGE, PRICE_ONLY, NEWS_ONLY and HYBRID.
 
     Columns are those of df with h, actual, arm, status, prediction, up_score, price and direction.
@@ -106,7 +126,7 @@ def arms(df: DataFrame, w: WindowSpec, value: str, price: Sequence[str], news: S
     """
     out = None
     for h in horizons:
-        base = df.withColumn("h", F.lit(h)).withColumn("actual", F.ln(F.lead(value, h).over(w) / F.col(value)))
+        base = _ahead(df.withColumn("h", F.lit(h)), w, value, h, "_then").withColumn("actual", F.ln(F.col("_then") / F.col(value))).drop("_then")
         has = F.coalesce(F.col(covered), F.lit(False))
         for arm, xs, usable in (("NO_CHANGE", (), None), ("PRICE_ONLY", price, None), ("NEWS_ONLY", news, has), ("HYBRID", (*price, *news), has)):
             if xs:

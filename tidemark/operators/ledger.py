@@ -1,20 +1,22 @@
 """The observation ledger: what becomes of each polled rate, and what a stored ledger refuses.
 
-Quarantine needs no history, so all that does is windows over the rows that pass.
+Quarantine needs no history, so all that does is scans over the rows that pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import SEGMENT_ROWS, Series, last, number, scanned, shifted
+
 #: What counts as another price.
 LEAST = "0.001"
 
 
-def disposed(polls: DataFrame, key: Sequence[str], row_id: str = "row_id", zone: str = "Asia/Kolkata") -> DataFrame:
+def disposed(polls: DataFrame, key: Sequence[str], row_id: str = "row_id", zone: str = "Asia/Kolkata", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Adds disposition, reason, previous_price, change, change_pct, kind, revision, supersedes, is_inserted.
 
     polls: price decimal(14,2), status (of validation), published, observed, raw_time, in_memory,
@@ -32,8 +34,8 @@ def disposed(polls: DataFrame, key: Sequence[str], row_id: str = "row_id", zone:
     reason = F.when(F.col("status").isin("QUARANTINED", "INVALIDATED"), "validation").when(future, "future publication").when(lost, "source time without a date")
     x = polls.withColumn("reason", reason)
     kept = F.col("reason").isNull() & ~F.col("in_memory")
-    w = Window.partitionBy(*key, "_kept").orderBy("observed", row_id)
-    x = x.withColumn("_kept", kept).withColumn("previous_price", F.when(kept, F.lag("price").over(w)))
+    by = lambda *more: Series((*key, *more), ("observed", row_id), segment_rows)
+    x = scanned(x.withColumn("_kept", kept), by("_kept"), {"_prior": shifted(F.col("price"))}).withColumn("previous_price", F.when(kept, F.col("_prior")))
     delta = (F.col("price") - F.col("previous_price")).cast("decimal(14,2)")
     differs = F.abs(F.col("price") - F.col("previous_price")) > F.lit(LEAST).cast("decimal(6,3)")
     changed = F.col("previous_price").isNull() | differs
@@ -41,26 +43,22 @@ def disposed(polls: DataFrame, key: Sequence[str], row_id: str = "row_id", zone:
     x = x.withColumn("disposition", what).withColumn("change", F.when(differs, delta)).withColumn("change_pct", F.when(differs & (F.col("previous_price") > 0), (delta / F.col("previous_price") * 100).cast("decimal(12,4)")))
     # Publications of benchmarks.
     published = kept & F.col("benchmark") & F.col("published").isNotNull()
-    x = x.withColumn("_pub", published)
-    p = Window.partitionBy(*key, "published", "_pub").orderBy("observed", row_id)
-    x = x.withColumn("_first", published & (F.row_number().over(p) == 1))
+    x = scanned(x.withColumn("_pub", published), by("published", "_pub"), {"_nth": number()}).withColumn("_first", published & (F.col("_nth") == 1))
     shut = F.col("_first") & F.col("clock_only") & F.col("closed")
     local = F.from_utc_timestamp(F.col("published").cast("timestamp"), zone)
-    before = F.last(F.when(F.col("_first") & ~shut, local), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("_shut", shut).withColumn("_before", before)
+    x = scanned(x.withColumn("_seen", F.when(F.col("_first") & ~shut, local)), by("_kept"), {"_before": last(F.col("_seen"), inclusive=False)})
     same_clock = (F.date_format("_before", "HH:mm") == F.date_format(local, "HH:mm")) & (F.to_date("_before") < F.to_date(local))
     carried = F.col("_first") & F.col("clock_only") & (F.col("closed") | ~changed & F.coalesce(same_clock, F.lit(False)))
     x = x.withColumn("_carried", carried)
     # Revisions: rows of a publication that are not carried over and differ from the one before.
     x = x.withColumn("_in", published & ~F.col("_carried"))
-    q = Window.partitionBy(*key, "published", "_in").orderBy("observed", row_id)
-    last = F.lag("price").over(q)
-    x = x.withColumn("_revised", F.col("_in") & (last.isNull() | (F.abs(F.col("price") - last) > F.lit(LEAST).cast("decimal(6,3)"))))
-    r = Window.partitionBy(*key, "published", "_revised").orderBy("observed", row_id)
+    x = scanned(x, by("published", "_in"), {"_was": shifted(F.col("price"))})
+    x = x.withColumn("_revised", F.col("_in") & (F.col("_was").isNull() | (F.abs(F.col("price") - F.col("_was")) > F.lit(LEAST).cast("decimal(6,3)"))))
+    x = scanned(x, by("published", "_revised"), {"_rev": number(), "_over": shifted(F.col(row_id))})
     inserted = F.when(F.col("benchmark") & F.col("published").isNotNull(), F.col("_revised")).otherwise(kept & ~F.col("benchmark") & changed)
-    x = x.withColumn("revision", F.when(F.col("_revised"), F.row_number().over(r))).withColumn("supersedes", F.when(F.col("_revised"), F.lag(row_id).over(r))).withColumn("is_inserted", inserted)
+    x = x.withColumn("revision", F.when(F.col("_revised"), F.col("_rev").cast("int"))).withColumn("supersedes", F.when(F.col("_revised"), F.col("_over"))).withColumn("is_inserted", inserted)
     x = x.withColumn("kind", F.when(F.col("_carried"), "CARRYOVER").when(F.col("revision") > 1, "CORRECTION").when(F.col("is_inserted"), "ORIGINAL"))
-    return x.drop("_kept", "_pub", "_first", "_shut", "_before", "_carried", "_in", "_revised")
+    return x.drop("_kept", "_prior", "_pub", "_nth", "_first", "_seen", "_before", "_carried", "_in", "_was", "_revised", "_rev", "_over")
 
 
 def merged_latest(latest: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:

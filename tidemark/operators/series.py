@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidemark.operators.scan import SEGMENT_ROWS, Series, most, number, scanned, shifted, total
+
 
 def ordered(key: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*key).orderBy(*order)
@@ -72,18 +74,13 @@ def duplicates_flagged(df: DataFrame, key: Sequence[str], order: Sequence[Column
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)) > 1)
 
 
-def revision_chain(df: DataFrame, publication: Sequence[str], order: Sequence[str], value: str, row_id: str, least: float = 0.001) -> DataFrame:
+def revision_chain(df: DataFrame, publication: Sequence[str], order: Sequence[str], value: str, row_id: str, least: float = 0.001, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Ledger rows: the first of each publication and each later one that differs from the row
     before by more than `least`, with revision_number, supersedes and kind."""
-    w = ordered(publication, order)
-    changed = df.withColumn("_before", F.lag(value).over(w)).where(F.col("_before").isNull() | (F.abs(F.col(value) - F.col("_before")) > least))
-    nth = F.row_number().over(w)
-    return (
-        changed.withColumn("revision_number", nth)
-        .withColumn("supersedes", F.lag(row_id).over(w))
-        .withColumn("kind", F.when(nth == 1, "ORIGINAL").otherwise("CORRECTION"))
-        .drop("_before")
-    )
+    s = Series(tuple(publication), tuple(order), segment_rows)
+    changed = scanned(df, s, {"_before": shifted(F.col(value))}).where(F.col("_before").isNull() | (F.abs(F.col(value) - F.col("_before")) > least)).drop("_before")
+    numbered = scanned(changed, s, {"revision_number": number(), "supersedes": shifted(F.col(row_id))})
+    return numbered.withColumn("revision_number", F.col("revision_number").cast("int")).withColumn("kind", F.when(F.col("revision_number") == 1, "ORIGINAL").otherwise("CORRECTION"))
 
 
 def revisions_asof(ledger: DataFrame, publication: Sequence[str], observed: str, revision: str, value: str, as_of: Column) -> DataFrame:
@@ -104,7 +101,7 @@ def carryovers(df: DataFrame, w: WindowSpec, clock: Column, value: str) -> DataF
     ).drop("_clock")
 
 
-def sequence_audit(df: DataFrame, key: Sequence[str], order: Sequence[str], explicit: Column, signature: Column, sunday: Column, published_sunday: Column, require_explicit: bool = False) -> DataFrame:
+def sequence_audit(df: DataFrame, key: Sequence[str], order: Sequence[str], explicit: Column, signature: Column, sunday: Column, published_sunday: Column, require_explicit: bool = False, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """A status for each polled row, and the sequence number of the eligible ones (-1 otherwise).
 
     MISSING without an explicit date where one is required; DUPLICATE_POLL for an explicit
@@ -112,13 +109,14 @@ def sequence_audit(df: DataFrame, key: Sequence[str], order: Sequence[str], expl
     explicit row seen on a Sunday for another day; UNCERTAIN for a bare clock on a Sunday; else
     VALID (explicit) or INFERRED. The last two are eligible.
     """
-    w = ordered(key, order)
-    df = df.withColumn("_sig", signature).withColumn("_explicit", explicit).withColumn("_same", F.coalesce(F.lag("_sig").over(w) == F.col("_sig"), F.lit(False)))
+    s = Series(tuple(key), tuple(order), segment_rows)
+    df = scanned(df.withColumn("_sig", signature).withColumn("_explicit", explicit), s, {"_was": shifted(F.col("_sig"))}).withColumn("_same", F.coalesce(F.col("_was") == F.col("_sig"), F.lit(False)))
     stale_sunday = F.col("_explicit") & sunday & ~published_sunday
     missing = F.lit(require_explicit) & ~F.col("_explicit")
     # An explicit row is accepted unless a rule below refuses it; later equal ones are duplicates.
     accepts = F.col("_explicit") & ~F.col("_same") & ~stale_sunday
-    earlier = F.coalesce(F.max(accepts.cast("int")).over(Window.partitionBy(*key, "_sig").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = scanned(df.withColumn("_accepts", accepts.cast("int")), Series((*key, "_sig"), tuple(order), segment_rows), {"_earlier": most(F.col("_accepts"), inclusive=False)})
+    earlier = F.coalesce("_earlier", F.lit(0))
     status = (
         F.when(missing, "MISSING")
         .when(F.col("_explicit") & (earlier == 1), "DUPLICATE_POLL")
@@ -129,5 +127,5 @@ def sequence_audit(df: DataFrame, key: Sequence[str], order: Sequence[str], expl
         .otherwise("INFERRED")
     )
     df = df.withColumn("status", status).withColumn("is_eligible", F.col("status").isin("VALID", "INFERRED"))
-    number = F.sum(F.col("is_eligible").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return df.withColumn("sequence_index", F.when(F.col("is_eligible"), number).otherwise(-1)).drop("_sig", "_explicit", "_same")
+    df = scanned(df, s, {"_so_far": total(F.col("is_eligible").cast("int"))})
+    return df.withColumn("sequence_index", F.when(F.col("is_eligible"), F.col("_so_far") - 1).otherwise(-1)).drop("_sig", "_explicit", "_was", "_same", "_accepts", "_earlier", "_so_far")

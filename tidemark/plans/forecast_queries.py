@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import forecast as R
 from tidemark.operators import series as S
+from tidemark.operators.scan import Series
 from tidemark.plans.base import query, table
 
 
+SERIES = Series(("user_id",), ("ts", "event_id"))
+
 
 def _w():
-    return S.ordered(["user_id"], ["ts", "event_id"])
+    return SERIES.window()
 
 
 #: The same window in SQL.
@@ -33,7 +36,7 @@ _BASE = f"""e AS (SELECT *, row_number() OVER {_SQL}) - 1 AS idx, coalesce(ln(va
 @query(f"WITH {_BASE} SELECT event_id, n AS n_train, round(prediction, 6) AS prediction FROM f")
 def ridge_univariate(spark, sf):
     df = S.forward_return(_series(spark, sf), _w(), "value", 1)
-    return R.ridge_one(df, _w(), "ret_1", "fwd_1", 1).select("event_id", "n_train", F.round("prediction", 6).alias("prediction"))
+    return R.ridge_one(df, SERIES, "ret_1", "fwd_1", 1).select("event_id", "n_train", F.round("prediction", 6).alias("prediction"))
 
 
 def _arms(spark, sf):
@@ -42,7 +45,7 @@ def _arms(spark, sf):
     per = per.withColumnRenamed("user_id", "u").withColumn("day", F.date_add("day", 1))
     df = df.join(per, (F.col("user_id") == F.col("u")) & (F.to_date("ts") == F.col("day")), "left").drop("u", "day")
     price, news = ["ret_1", "ret_3", "ret_5", "vol_5"], ["n_clusters", "net_impact", "unknown_share"]
-    return R.arms(df.withColumn("covered", F.col("n_clusters").isNotNull()), _w(), "value", price, news, "covered", [1, 3])
+    return R.arms(df.withColumn("covered", F.col("n_clusters").isNotNull()), SERIES, "value", price, news, "covered", [1, 3])
 
 
 @query()
@@ -57,7 +60,7 @@ _TWO = f"""{_BASE}, a AS (SELECT event_id, user_id, ts, idx, value, y AS actual,
 
 def _two(spark, sf):
     df = S.forward_return(_series(spark, sf), _w(), "value", 1)
-    ridge = R.ridge_one(df, _w(), "ret_1", "fwd_1", 1).withColumn("actual", F.col("fwd_1"))
+    ridge = R.ridge_one(df, SERIES, "ret_1", "fwd_1", 1).withColumn("actual", F.col("fwd_1"))
     cols = ["event_id", "user_id", "ts", "idx", "value", "actual"]
     a = ridge.select(*cols, F.lit("NO_CHANGE").alias("arm"), F.lit(0.0).alias("prediction"))
     b = ridge.select(*cols, F.lit("RIDGE").alias("arm"), "prediction")

@@ -45,6 +45,15 @@ def asof_strict(spark, sf):
     return out.select("event_id", "user_id", "value", "view_ts", "view_value", F.col("view_value").isNotNull().alias("matched"))
 
 
+@query("""WITH s AS (SELECT client_id, sold_at, max(sale_id) AS last_sale FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL AND sale_id IS NOT NULL GROUP BY ALL)
+    SELECT click_id, c.client_id, ts, last_sale FROM clicks c ASOF LEFT JOIN s ON c.client_id = s.client_id AND c.ts >= s.sold_at""")
+def asof_tied(spark, sf):
+    """Each click with its client's latest sale, of those of one time the one of the highest number: ids of any length tie."""
+    sales = table(spark, sf, "sales").where("client_id IS NOT NULL AND sale_id IS NOT NULL").select("client_id", "sold_at", F.col("sale_id").alias("last_sale"))
+    clicks = table(spark, sf, "clicks").select("click_id", "client_id", "ts")
+    return asof_join(clicks, sales, ["client_id"], "ts", "sold_at", ["last_sale"], tie=["last_sale"])
+
+
 @query("""
     SELECT event_id, user_id, CASE WHEN view_ts >= ts - INTERVAL 6 HOUR THEN view_value END AS view_value FROM (
         SELECT a.event_id, a.user_id, a.ts, b.view_ts, b.view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') a

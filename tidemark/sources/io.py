@@ -98,11 +98,17 @@ def _own_folder() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """Where intermediate tables go: spark.checkpoint.dir, or on a local master without one a temporary folder."""
+    """This application's folder for intermediate tables: in spark.checkpoint.dir, or on a local master without one in a temporary folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(root or _own_folder()).rstrip('/')}/tidemark"
+    return f"{(root or _own_folder()).rstrip('/')}/tidemark/{spark.sparkContext.applicationId}/tables"
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that still read them are lost, other applications' tables stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialised(df: DataFrame) -> DataFrame:
