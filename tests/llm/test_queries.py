@@ -50,7 +50,19 @@ def brute_lines(rows, least=10):
     return [(i, t, "\n".join(x for x in (t or "").split("\n") if k(x) not in drop)) for i, t, *_ in rows]
 
 
-@pytest.mark.parametrize("support", [0.001, 0.05])
+def test_frequent_values_below_one_summarys_support(spark):
+    """Every value above the share is named, whether it is above what one summary can see or not."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.shared import frequent
+
+    # one value has half of all rows, twenty have 60 each (a share of 3e-5), the others one each
+    rows = spark.range(2_000_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).when(F.col("id") < 2400, F.col("id") % 40 - 100).otherwise(F.col("id")).alias("v"))
+    found = {r.v for r in frequent(rows, "v", 2e-5).collect()}
+    assert {-1, *range(-99, -59, 2)} <= found and len(found) <= 2 / 2e-5
+
+
+@pytest.mark.parametrize("support", [1e-5, 0.001, 0.05])
 def test_awkward_rows_of_line_dedup(spark, support):
     from tidemark.llm.line_dedup import line_dedup
 

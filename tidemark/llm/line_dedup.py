@@ -8,8 +8,8 @@ there. To apply the runs, `line_dedup` moves each text once to the join with its
 every document may have some, so neither side has a size that a broadcast could rely on.
 
 A line found in a large share of all rows would make one range hot. Misra-Gries finds such
-hashes first (1 / support at most, where support is `support` or, beyond a billion lines, the
-share of a million lines); they are verified exactly and broadcast.
+hashes first: those with more than `support` of all rows or, beyond a billion lines, more than a
+million rows, but a million hashes at most (16 bytes each). They are verified exactly and broadcast.
 """
 
 from __future__ import annotations
@@ -43,8 +43,7 @@ def drop_runs(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, support:
         .select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")),
         "line-hashes",
     )
-    # No group that is left holds more than about a million lines; the summary has 25,000 entries at most.
-    support = max(4e-5, min(support, 1_000_000 / max(1, rows.count())))
+    support = max(1e-6, min(support, 1_000_000 / max(1, rows.count())))
     hot = written(
         rows.join(F.broadcast(frequent(rows, "h1", support)), "h1")
         .select(*LINE, *ROW)

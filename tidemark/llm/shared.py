@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 import tempfile
 import uuid
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as in `[\x20\x09-\x0D]`.
 SPACES = " \t\n\x0b\x0c\r"
+#: What one summary of frequent values can go down to.
+LEAST_SUPPORT = 1e-4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -73,9 +76,24 @@ def body(name: str) -> Column:
 def frequent(df: DataFrame, column: str, support: float) -> DataFrame:
     """Misra-Gries candidates: every value held by more than `support` of the rows is among them.
 
-    One row for each candidate, 1 / support at most; the summary merges map-side, so the
-    shuffle has one bounded summary for each task.
+    One row for each candidate, some 1 / support; the summary merges map-side, so the
+    shuffle has one bounded summary for each task. One summary goes down to LEAST_SUPPORT. Below it
+    (integer columns only) what a first summary names is taken out, and the rest is dealt into
+    classes by value, in which a share of the rows is a larger one: a summary for each class, with room for
+    twice the mean class.
     """
+    if support >= LEAST_SUPPORT:
+        return _summary(df, column, support)
+    most = written(_summary(df, column, LEAST_SUPPORT), "frequent")
+    classes = math.ceil(2 * LEAST_SUPPORT / support)
+    rest = df.select(column).where(F.col(column).isNotNull()).join(F.broadcast(most), column, "left_anti").withColumn("class", F.pmod(F.xxhash64(column), F.lit(classes)).cast("int"))
+    path = fresh_path(df.sparkSession, "frequent-classes")
+    rest.write.partitionBy("class").parquet(path)
+    dealt = df.sparkSession.read.schema(rest.schema).parquet(path)
+    return functools.reduce(DataFrame.union, [_summary(dealt.where(F.col("class") == c).select(column), column, LEAST_SUPPORT) for c in range(classes)], most)
+
+
+def _summary(df: DataFrame, column: str, support: float) -> DataFrame:
     return df.stat.freqItems([column], support).select(F.explode(f"{column}_freqItems").alias(column)).where(F.col(column).isNotNull())
 
 
