@@ -63,12 +63,19 @@ def test_all_candidates_of_a_few_rows(spark):
 
 def test_awkward_rows(spark):
     v = [1.0, 0.5, -2.0]
-    rows = [(0, v), (1, v), (2, [0.0, 0.0, 0.0]), (3, None), (4, [1.0, None, 2.0]), (5, [math.nan, 1.0, 1.0]), (6, [math.inf, 1.0, 1.0]), (7, [1.0]), (20, [-1.0, 2.0, 3.0]), (20, [-1.0, 2.0, 3.0]), (None, v), (8, []), (40, [0.1, 0.2, 0.3])]
+    rows = [(0, v), (1, v), (2, [0.0, 0.0, 0.0]), (3, None), (4, [1.0, None, 2.0]), (5, [math.nan, 1.0, 1.0]), (6, [math.inf, 1.0, 1.0]), (7, [1.0]), (20, [-1.0, 2.0, 3.0]), (None, v), (8, []), (40, [0.1, 0.2, 0.3])]
     assert result(A.nearest(frame(spark, rows))) == {q: [(j, pytest.approx(s)) for j, s in f] for q, f in brute(rows).items()}
     assert A.nearest(frame(spark, [])).collect() == []
     assert A.nearest(frame(spark, [(0, v)])).collect() == []
 
 
+def test_rows_that_repeat_an_id_are_candidates_each(spark):
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [5.0, 0.0, 0.0]), (1, [9.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (20, [0.0, 3.0, 0.0]), (20, [0.0, 4.0, 0.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in A.nearest(frame(spark, rows)).collect())
+    assert got[:6] == [(0, 1, 1, 9.0), (0, 2, 1, 5.0), (0, 3, 2, 2.0), (0, 4, 2, 2.0), (0, 5, 20, 0.0), (0, 6, 20, 0.0)]
+    assert [g for g in got if g[0] == 20 and g[1] == 1] == [(20, 1, 20, 12.0)] * 2 and len(got) == 18
+
+
 def test_recall_beside_tight_groups(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((4000, 32))

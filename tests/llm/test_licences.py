@@ -113,3 +113,45 @@ def test_chains_against_brute_force():
         chains = s._chained(0, found[0]) if items else []
         assert max((c for *_, c in chains), default=0) == max((longest(k) for k in range(len(items))), default=0)
         assert all(e <= s2 or e2 <= b for i, (b, e, *_) in enumerate(chains) for s2, e2, *_ in chains[:i])
+
+
+def test_spans_against_all_pairs():
+    """Looking up neighbours keeps what comparing every pair keeps."""
+    s = L._scanner(tuple(L.PHRASES.items()), L.TEMPLATES, 3, 6, 0.7, 12)
+    rng = random.Random(9)
+    for _ in range(200):
+        found = []
+        for _ in range(rng.randint(1, 60)):
+            start, n = rng.randint(0, 120), rng.randrange(len(L.PHRASES), len(s.sizes))
+            length = rng.choice([3, 4, 5, 8, 20, 60])
+            found.append((start, start + length, n, rng.randint(1, length)))
+        kept = []
+        for x in sorted(found, key=lambda x: (-x[3] * x[3] / s.sizes[x[2]], x)):
+            named = lambda y: s.labels[y[2]].endswith("-spdx")
+            if all((named(x) and named(y)) or 2 * (min(x[1], y[1]) - max(x[0], y[0])) < min(x[1] - x[0], y[1] - y[0]) for y in kept):
+                kept.append(x)
+        assert s._resolved(found) == sorted((a, b, s.labels[n], min(1.0, c / s.sizes[n])) for a, b, n, c in kept)
+
+
+def test_time_grows_with_the_notices():
+    import time
+
+    s = L._scanner(tuple(L.PHRASES.items()), L.TEMPLATES, 3, 6, 0.7, 12)
+    took = []
+    for n in (5_000, 20_000):
+        began = time.perf_counter()
+        out = s.scan(b"licensed under the MIT License and eight other words stand in between here now " * n)
+        took.append(time.perf_counter() - began)
+        assert len(out.spans) == n and len(out.phrases) == n
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_identifiers_and_dedications():
+    s = L._scanner(tuple(L.PHRASES.items()), L.TEMPLATES, 3, 6, 0.7, 12)
+    labels = lambda t: {x[2] for x in s.scan(t.encode().lower()).spans}
+    assert labels("// SPDX-License-Identifier: MIT OR Apache-2.0") == {"mit-spdx", "apache-spdx"}
+    for name, label in (("Zlib", "zlib"), ("Unlicense", "unlicense"), ("BSL-1.0", "boost"), ("CC0-1.0", "cc0"), ("MIT", "mit"), ("GPL-2.0", "gpl")):
+        assert labels(f"SPDX-License-Identifier: {name}") == {f"{label}-spdx"}
+    assert labels("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.") == {"cc0-notice"}
+    assert labels("This Font Software is licensed under the SIL Open Font License, Version 1.1.\nThis license is copied below") == {"ofl-notice"}
+    assert labels("The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.") == {"mpl-notice"}

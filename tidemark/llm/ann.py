@@ -116,12 +116,13 @@ def _matrix(raw, dims: int) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, vec (doubles), norm: rows that take part, one for each id."""
+    """id, vec_id, vec (doubles), norm: the rows that take part, numbered by vec_id and then vector."""
     vec = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0))
     rows = rows.where(finite).withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).where(F.col("norm") > 0)
-    return rows.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
+    # Numbers rise with vec_id, so that ties by number are ties by vec_id.
+    return rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id", "vec").select(F.monotonically_increasing_id().alias("id"), "vec_id", "vec", "norm")
 
 
 def nearest(
@@ -134,7 +135,8 @@ def nearest(
     go to the smaller id. A query visits at least k + 1 rows, or all if there are fewer.
     Rows with a null id, and vectors that are null, empty, zero or hold null or non-finite
     components, take no part; nor do vectors of another length than most have. Rows that
-    repeat an id are one row, that of the smallest vector. An empty table gives no rows.
+    repeat an id are rows of their own, each a candidate for the others, and each a query where its id is
+    one. An empty table gives no rows.
 
     `recall` is the wanted share of true neighbours under the model above. What a query's k-th
     neighbour reaches is taken from `sample_rows` rows (bounded) and from the rows that its
@@ -162,9 +164,9 @@ def nearest(
             if b.num_rows:
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
                 codes = pa.array(list(hashes.row_codes(x).astype(np.int32)), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x]), codes], ["id", "vec", "codes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x]), codes, b.column(2)], ["id", "vec", "codes", "vec_id"])
 
-    indexed = written(rows.select("id", "vec").mapInArrow(index, "id long, vec binary, codes array<int>"), "index")
+    indexed = written(rows.select("id", "vec", "vec_id").mapInArrow(index, "id long, vec binary, codes array<int>, vec_id long"), "index")
     # ranges x tables x CELLS^functions buckets at most, whatever the rows: laid out over shards by their sizes.
     counts = indexed.select(F.explode("codes").alias("code")).groupBy("code").count().collect()
     homes, parts_of, filled_of, own_bit = (np.full(hashes.codes, x, np.int64) for x in (-1, 0, 0, 0))
@@ -196,7 +198,7 @@ def nearest(
                     reached = np.partition(found, -k, axis=1)[:, -k] / np.linalg.norm(x, axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes.home(hashes.queries(x))), pa.array(reached), pa.array(np.linalg.norm(x, axis=1))], ["query", "vec", "home", "reached", "norm"])
 
-    asked = written(indexed.where(F.col("id") % every == 0).select("id", "vec").mapInArrow(asking, "query long, vec binary, home long, reached double, norm double"), "queries")
+    asked = written(indexed.where(F.col("vec_id") % every == 0).select("id", "vec").mapInArrow(asking, "query long, vec binary, home long, reached double, norm double"), "queries")
     at, place = 0, {}  # home -> its first block and how many it has: as many rows as a table has buckets
     for home, n in asked.groupBy("home").count().orderBy("home").collect():
         place[home] = (at // query_rows, max(1, math.ceil(n / query_rows)))
@@ -303,5 +305,7 @@ def nearest(
         kth = visited(asked, 1).withColumn("nth", nth).where(F.col("nth") == k).select("query", F.col("score").alias("kth"))
         kth = written(kth, "reached")
         asked = asked.join(kth, "query", "left").select("query", "vec", "home", F.greatest("reached", F.col("kth") / F.col("norm")).alias("reached"))
-    pairs = visited(asked, None)
-    return pairs.withColumn("rank", nth).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
+    found = visited(asked, None).withColumn("rank", nth).where(F.col("rank") <= k).select("query", "rank", F.col("vec_id").alias("row"), "score")
+    names = indexed.select("id", "vec_id")
+    queries = names.where(F.col("vec_id") % every == 0).select(F.col("id").alias("query"), F.col("vec_id").alias("query_id"))
+    return found.join(queries, "query").join(names, F.col("row") == F.col("id")).select("query_id", "rank", "vec_id", "score")

@@ -93,7 +93,10 @@ TEMPLATES = (
     ("apache-notice", "Licensed under the Apache License, Version 2.0"),
     ("mpl-notice", _MPL),
     ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-notice", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License."),
     ("epl-notice", _EPL),
+    ("cc0-notice", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("ofl-notice", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
     ("gpl-notice", _gnu("This program", "GNU General Public License", "3")),
     ("gpl-notice", _gnu("This program", "GNU General Public License", "2")),
     ("lgpl-notice", _gnu("This library", "GNU Lesser General Public License", "2.1")),
@@ -118,4 +121,10 @@ TEMPLATES = (
     ("lgpl-spdx", "SPDX-License-Identifier: LGPL-2.1"),
     ("lgpl-spdx", "SPDX-License-Identifier: LGPL-3.0"),
     ("agpl-spdx", "SPDX-License-Identifier: AGPL-3.0"),
+    ("cc0-spdx", "SPDX-License-Identifier: CC0-1.0"),
+    ("zlib-spdx", "SPDX-License-Identifier: Zlib"),
+    ("unlicense-spdx", "SPDX-License-Identifier: Unlicense"),
+    ("boost-spdx", "SPDX-License-Identifier: BSL-1.0"),
+    ("ofl-spdx", "SPDX-License-Identifier: OFL-1.1"),
+    ("epl-spdx", "SPDX-License-Identifier: EPL-2.0"),
 )

@@ -186,17 +186,31 @@ class Scanner:
                     own = max(own, (covered + size - over, start, p))
             best.append(own)
         found: list[tuple[int, int, int, int]] = []
+        taken = bytearray(order[-1][0])  # words of chains found
         for covered, start, end in sorted(((c, s, order[k][0]) for k, (c, s, _) in enumerate(best) if c >= self.needed[n]), key=lambda x: (-x[0], x[2] - x[1], x[1])):
-            if all(end <= s or e <= start for s, e, *_ in found):
+            if taken.find(1, start, end) < 0:
                 found.append((start, end, n, covered))
+                taken[start:end] = b"\1" * (end - start)
         return found
 
     def _resolved(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, str, float]]:
-        """Spans by place; one that lies half or more on a span with more of its own template goes."""
+        """Spans by place; one that lies half or more on a span with more of its own template goes.
+
+        Identifiers of one expression (`A OR B`) share their lead-in and don't compete with each other.
+        """
         kept: list[tuple[int, int, int, int]] = []
+        # Kept spans by length class j (lengths from 2^j to below 2^(j+1)) and by start in steps of 2^(j+1). Spans of
+        # a class share less than half with each other, so few start in one step.
+        near: dict[tuple[int, int, bool], list[tuple[int, int]]] = {}
+        classes: set[tuple[int, bool]] = set()
         for x in sorted(found, key=lambda x: (-x[3] * x[3] / self.sizes[x[2]], x)):
-            if all(2 * (min(x[1], y[1]) - max(x[0], y[0])) < min(x[1] - x[0], y[1] - y[0]) for y in kept):
+            start, end, named = x[0], x[1], self.labels[x[2]].endswith("-spdx")
+            others = (y for j, of in classes if not (named and of) for at in range((start >> (j + 1)) - 1, ((end - 1) >> (j + 1)) + 1) for y in near.get((j, at, of), ()))
+            if all(2 * (min(end, e) - max(start, s)) < min(end - start, e - s) for s, e in others):
                 kept.append(x)
+                j = (end - start).bit_length() - 1
+                classes.add((j, named))
+                near.setdefault((j, start >> (j + 1), named), []).append((start, end))
         return sorted((s, e, self.labels[n], min(1.0, c / self.sizes[n])) for s, e, n, c in kept)
 
 
