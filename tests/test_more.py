@@ -60,6 +60,29 @@ def test_stories_against_a_pass_in_order(spark):
     assert sorted(map(sorted, by_want.values())) == sorted(map(sorted, by_got.values()))
 
 
+def test_equal_headlines_make_no_pairs(spark):
+    """n equal, blank and null headlines: as many pairs of classes whatever n is, and the stories of a pass in order."""
+    def items(n):
+        texts = ["Mint says gold steady - Wire", "Mint says gold steady", " ", None, "gold steady says mint", "Mint says gold falls", "Quiet day for traders here"]
+        return [(i, texts[i % len(texts)], T0 + timedelta(minutes=13 * i)) for i in range(n)]
+
+    counts = []
+    for n in (140, 560):
+        rows = stories._described(spark.createDataFrame(items(n), "id long, t string, ts timestamp"), "t", "ts", "id", ())
+        nodes = stories._nodes(rows, 36 * 3_600_000_000)
+        counts.append(stories._class_pairs(nodes, nodes, (0, 1), 0.7).count())
+        assert nodes.count() <= 6 * (13 * n // (36 * 60) + 2)
+    assert counts[0] == counts[1] > 0
+    df = spark.createDataFrame(items(560), "id long, t string, ts timestamp")
+    told = df.select("id", T.cluster_key(F.coalesce("t", F.lit(""))).alias("k"), T.token_set(F.coalesce("t", F.lit(""))).alias("s"), "ts").collect()
+    want, got = first_ids([(r.id, r.k, set(r.s), r.ts) for r in told]), {r.row_id: r.cluster_id for r in stories.story_clusters(df, "t", "ts", "id").collect()}
+    by_want, by_got = {}, {}
+    for i in got:
+        by_want.setdefault(want[i], set()).add(i)
+        by_got.setdefault(got[i], set()).add(i)
+    assert sorted(map(sorted, by_want.values())) == sorted(map(sorted, by_got.values()))
+
+
 def test_either_key_dedup_of_null_keys(spark):
     df = spark.createDataFrame([(i, None, None) for i in range(30)] + [(30, "u", None), (31, "u", None), (32, None, "t"), (33, None, "t")], "id long, u string, t string")
     assert {r.id for r in stories.either_key_dedup(df, "u", "t", "id").collect() if not r.accepted} == {31, 33}

@@ -65,7 +65,7 @@ def key_set(key: Column) -> Column:
 
 def signature(title: Column) -> Column:
     """All tokens in order of spelling, so that word order doesn't matter."""
-    return F.array_join(F.array_sort(token_set(title)), " ")
+    return F.array_join(F.sort_array(token_set(title)), " ")
 
 
 def template_stem(title: Column) -> Column:
@@ -88,6 +88,16 @@ def conflict(a: Column, b: Column) -> Column:
     return tells | (rises(a) & falls(b)) | (falls(a) & rises(b))
 
 
+def telling(tokens: Column) -> tuple[Column, Column]:
+    """What conflict() compares: the sorted tokens that tell events apart, and 1 for a rise, -1 for a fall, else 0.
+
+    Token sets conflict exactly if the first differ or the second are opposite.
+    """
+    has = lambda words: F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
+    way = F.when(has(UP) & ~has(DOWN), 1).when(has(DOWN) & ~has(UP), -1).otherwise(0)
+    return F.sort_array(F.array_distinct(F.filter(tokens, lambda t: t.rlike("[0-9]") | t.isin(*ENTITIES)))), way
+
+
 def should_merge(key_a: Column, key_b: Column, set_a: Column, set_b: Column, least: float = 0.70) -> Column:
     """struct(merge, score): the same key or alike enough, and no conflict."""
     score = jaccard(key_set(key_a), key_set(key_b))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators.asof import asof_join
 from tidemark.sources.io import materialised
 
 
@@ -44,43 +46,83 @@ def either_key_dedup(df: DataFrame, first_key: str, second_key: str, order: str)
 
 
 def _described(df: DataFrame, title: str, ts: str, row_id: str, block: Sequence[str]) -> DataFrame:
-    t = F.col(title)
-    return df.select(
-        *block, F.col(row_id).alias("row_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
-        T.cluster_key(t).alias("key"), T.token_set(t).alias("tokens"), T.signature(t).alias("signature"), T.template_stem(t).alias("stem"),
+    """Items with the class of their headline: all that decides what it merges with.
+
+    Two headlines conflict unless they have the same tokens that tell events apart and no opposite
+    directions, and merge by their keys. So items of one block, key, set of telling tokens and
+    direction stand for each other, however many there are and whatever else they say.
+    """
+    t = F.coalesce(F.col(title), F.lit(""))
+    tells, way = T.telling(T.token_set(t))
+    near = F.xxhash64(*[x for c in block for x in (F.col(c).isNull(), F.col(c))], tells)
+    rows = df.select(
+        F.col(row_id).alias("row_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), T.cluster_key(t).alias("key"), near.alias("near"), way.alias("way"),
+        T.signature(t).alias("signature"), T.template_stem(t).alias("stem"),
     )
+    whole = ["near", "key", "way"]
+    return rows.withColumn("cls", F.concat_ws("-", F.xxhash64(*whole), F.xxhash64(F.lit(1), *whole)))
+
 
+def _nodes(rows: DataFrame, span: int) -> DataFrame:
+    """One row for each class and bucket of `span` microseconds that has items."""
+    return rows.groupBy("cls", F.floor(F.col("at") / span).alias("bucket")).agg(F.first("key").alias("key"), F.first("near").alias("near"), F.first("way").alias("way"))
 
-def _probes(df: DataFrame, counts: DataFrame, least: float) -> DataFrame:
-    """Rows with an array of probes: two that should merge share one.
 
-    Sets of that similarity share one of the rarest n - ceil(least n) + 1 tokens of each; equal keys
-    share themselves.
+def _probes(nodes: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """Classes by bucket, a row for each probe: two whose keys are alike enough share one.
+
+    Token sets of that similarity share one of the rarest n - ceil(least n) + 1 tokens of each.
+    Keys without such tokens probe as they are.
     """
-    one = df.select("row_id", F.explode(T.key_set(F.col("key"))).alias("token")).join(counts, "token")
-    rare = one.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    classes = nodes.select("cls", "key").distinct()
+    one = classes.select("cls", F.explode(T.key_set(F.col("key"))).alias("token")).join(counts, "token")
+    rare = one.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
     n = F.size("t")
-    some = F.transform(F.slice("t", 1, F.greatest(F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)), lambda x: x["token"])
-    rare = rare.select(F.col("row_id").alias("_of"), some.alias("_some"))
-    probes = F.concat(F.array(F.concat(F.lit("="), F.col("key"))), F.coalesce("_some", F.array().cast("array<string>")))
-    return df.join(rare, F.col("row_id") == F.col("_of"), "left").withColumn("probes", probes).drop("_of", "_some")
-
-
-def _pairs(old: DataFrame, new: DataFrame, span: int, least: float, block: Sequence[str], both_ways: bool) -> DataFrame:
-    """a, b, score: rows b of new with the rows a of old that they should merge with, at most `span`
-    microseconds before them (both_ways: or after). Probes in time buckets pair them."""
-    counts = old.select("key").unionByName(new.select("key")).select(F.explode(T.key_set(F.col("key"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    bucket = F.floor(F.col("at") / span)
-    names = ("row_id", "at", "key", "tokens")
-    a = _probes(old, counts, least).select(*[F.col(c).alias(f"a_{c}") for c in (*names, *block)], F.explode("probes").alias("probe"), bucket.alias("bucket"))
-    b = _probes(new, counts, least).select(*[F.col(c).alias(f"b_{c}") for c in (*names, *block)], F.explode("probes").alias("b_probe"), F.explode(F.array(*[bucket - k for k in ((0, 1, -1) if both_ways else (0, 1))])).alias("b_bucket"))
-    cond = (F.col("probe") == F.col("b_probe")) & (F.col("bucket") == F.col("b_bucket"))
-    for c in block:
-        cond = cond & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    before = F.col("b_at") - F.col("a_at")
-    cond = cond & ((F.abs(before) <= span) if both_ways else (before <= span) & (F.struct("a_at", "a_row_id") < F.struct("b_at", "b_row_id")))
-    met = a.join(b, cond).withColumn("m", T.should_merge(F.col("a_key"), F.col("b_key"), F.col("a_tokens"), F.col("b_tokens"), least)).where("m.merge")
-    return met.select(F.col("a_row_id").alias("a"), F.col("a_at").alias("at"), F.col("b_row_id").alias("b"), F.col("m.score").alias("score")).distinct()
+    some = F.transform(F.slice("t", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1), lambda x: x["token"])
+    rare = rare.select(F.col("cls").alias("_of"), F.posexplode(some).alias("place", "probe"), n.alias("size"))
+    # Equal keys meet by themselves, as the similarity of keys without long tokens is none.
+    whole = classes.select(F.col("cls").alias("_of"), F.lit(-1).alias("place"), F.concat(F.lit("="), F.col("key")).alias("probe"), F.lit(0).alias("size"))
+    return nodes.join(rare.unionByName(whole), F.col("cls") == F.col("_of")).drop("_of")
+
+
+def _class_pairs(old: DataFrame, new: DataFrame, shifts: Sequence[int], least: float) -> DataFrame:
+    """a, b, score: other classes a that items of class b may merge with, where some of each lie in buckets `shifts` apart.
+
+    Candidates share a probe, what tells events apart, and a bucket; sizes must allow the similarity, and
+    so must the tokens left behind the probe. Equal headlines are one class, so none of their pairs arises.
+    """
+    counts = old.select("cls", "key").unionByName(new.select("cls", "key")).distinct().select(F.explode(T.key_set(F.col("key"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    names = ("cls", "key", "way", "size", "place", "bucket", "near", "probe")
+    a = _probes(old, counts, least).select(*[F.col(c).alias(f"a_{c}") for c in names])
+    b = _probes(new, counts, least).select(*[F.col(c).alias(f"b_{c}") for c in names if c != "bucket"], F.explode(F.array(*[F.col("bucket") - k for k in shifts])).alias("b_bucket"))
+    met = a.join(b, (F.col("a_near") == F.col("b_near")) & (F.col("a_probe") == F.col("b_probe")) & (F.col("a_bucket") == F.col("b_bucket")))
+    met = met.where((F.col("a_cls") != F.col("b_cls")) & (F.col("a_way") * F.col("b_way") >= 0))
+    small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))  # tokens from the shared one on
+    fits = (small >= least * large - 1e-9) & (left >= least / (1 + least) * (F.col("a_size") + F.col("b_size")) - F.least("a_place", "b_place") - 1e-9)
+    met = met.where((F.col("a_place") < 0) | fits).select("a_cls", "b_cls", "a_key", "b_key").distinct()
+    score = F.when(F.col("a_key") == F.col("b_key"), 1.0).otherwise(T.jaccard(T.key_set(F.col("a_key")), T.key_set(F.col("b_key"))))
+    return met.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), score.alias("score")).where(F.col("score") >= least)
+
+
+def _alone(rows: DataFrame, span: int) -> DataFrame:
+    """The items that open a story among those of their own class: each first one beyond the span of the opening before.
+
+    Narrow rows are sorted by class and time and streamed; a class is one task's, but none is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, opened = None, 0
+        for b in batches:
+            keep = []
+            for i, (cls, at) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if cls != now or at - opened > span:
+                    now, opened = cls, at
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    dealt = rows.select("cls", "at", "row_id").repartition("cls").sortWithinPartitions("cls", "at", "row_id")
+    return dealt.mapInArrow(run, dealt.schema)
 
 
 def story_clusters(df: DataFrame, title: str, ts: str, row_id: str, hours: float = 36, least: float = 0.70, version: str = "v1", block: Sequence[str] = ()) -> DataFrame:
@@ -88,36 +130,51 @@ def story_clusters(df: DataFrame, title: str, ts: str, row_id: str, hours: float
     `hours` before it and that it should merge with; ties go to the latest.
 
     A story's origin never moves, so an item opens one exactly when none that it could join did.
-    That is decided in rounds over the pairs of items that should merge: who has no undecided or
-    opening partner before opens, who has an opening one does not. Rounds grow with the longest chain of
-    such pairs. An item whose stem equals that of a story outside the span is a recurring bulletin.
-    Items of different `block` columns (language, say) never meet. Row ids are unique.
+    Items of one class that lie within a bucket of `hours` are one node, which opens one story at most. Classes
+    that merge with no other are decided by themselves in one pass. The others are decided in rounds over
+    the nodes: a node's first undecided item opens when no partner has an undecided one before it, and
+    takes in what it reaches. Rounds grow with the longest chain of such nodes. An item whose stem equals
+    that of a story outside the span is a recurring bulletin. Items of different `block` columns (language,
+    say) never meet. Null titles count as blank, and blank ones are one class. Row ids are unique.
     """
     span = int(hours * 3_600_000_000)
     rows = materialised(_described(df, title, ts, row_id, block))
-    pairs = materialised(_pairs(rows, rows, span, least, block, False))
-    edges, opened, undecided = pairs.select("a", "b"), None, rows.select("row_id")
-    while True:
-        waits = edges.select(F.col("b").alias("row_id")).distinct()
-        new = materialised(undecided.join(waits, "row_id", "left_anti"))
-        opened = new if opened is None else opened.unionByName(new)
-        joins = edges.join(new.select(F.col("row_id").alias("a")), "a", "left_semi").select(F.col("b").alias("row_id")).distinct()
-        joins = materialised(joins)
-        undecided = materialised(undecided.join(new, "row_id", "left_anti").join(joins, "row_id", "left_anti"))
-        # Partners that opened nothing say no more, and who has joined needs no partners.
-        edges = materialised(edges.join(undecided.select(F.col("row_id").alias("a")), "a", "left_semi").join(undecided.select(F.col("row_id").alias("b")), "b", "left_semi"))
-        if undecided.isEmpty():
-            break
-    best = pairs.join(opened.select(F.col("row_id").alias("a")), "a", "left_semi").join(opened.select(F.col("row_id").alias("b")), "b", "left_anti")
-    best = best.groupBy(F.col("b").alias("row_id")).agg(F.max_by("a", F.struct("score", "at", "a")).alias("first_id"))
+    pairs = materialised(_class_pairs(_nodes(rows, span), _nodes(rows, span), (0, 1), least))
+    own = rows.select("row_id", "at", "cls", F.floor(F.col("at") / span).alias("bucket"))
+    linked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    opened = materialised(_alone(own.join(linked, "cls", "left_anti"), span))
+    undecided = materialised(own.join(linked, "cls", "left_semi"))
+    # Which class's stories an item of a class can join: its own, and its partners'.
+    both = pairs.unionByName(rows.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("score")).distinct())
+    edges = both.select(F.col("a").alias("from"), F.col("b").alias("to"))
+    while not undecided.isEmpty():
+        item = F.struct("at", "row_id")
+        nodes = undecided.groupBy("cls", "bucket").agg(F.min(item).alias("first"), F.max("at").alias("last"))
+        reach = F.explode(F.array("bucket", F.col("bucket") + 1))
+        before = nodes.select(F.col("cls").alias("from"), F.col("first").alias("its"), F.col("last").alias("its_last"), reach.alias("to_bucket")).join(edges, "from")
+        waits = nodes.join(before, (F.col("cls") == F.col("to")) & (F.col("bucket") == F.col("to_bucket"))).where((F.col("its") < F.col("first")) & (F.col("its_last") >= F.col("first.at") - span))
+        waits = waits.select("cls", "bucket").distinct()
+        new = materialised(nodes.join(waits, ["cls", "bucket"], "left_anti").select("cls", F.col("first.at").alias("at"), F.col("first.row_id").alias("row_id")))
+        opened = opened.unionByName(new)
+        story = new.select(F.col("cls").alias("from"), F.floor(F.col("at") / span).alias("from_bucket"), F.struct("at", "row_id").alias("its"))
+        story = story.join(edges, "from").select(F.col("to"), "its", F.explode(F.array("from_bucket", F.col("from_bucket") + 1)).alias("to_bucket"))
+        taken = undecided.join(story, (F.col("cls") == F.col("to")) & (F.col("bucket") == F.col("to_bucket"))).where((F.struct("at", "row_id") >= F.col("its")) & (F.col("at") - F.col("its.at") <= span))
+        undecided = materialised(undecided.join(taken.select("row_id").distinct(), "row_id", "left_anti"))
+    opened = materialised(opened)
+    story = opened.select(F.col("cls").alias("a"), F.col("at").alias("its_at"), F.col("row_id").alias("its"), F.floor(F.col("at") / span).alias("its_bucket"))
+    story = story.join(both, "a").select(F.col("b").alias("to"), "score", "its_at", "its", F.explode(F.array("its_bucket", F.col("its_bucket") + 1)).alias("to_bucket"))
+    rest = own.join(opened.select("row_id"), "row_id", "left_anti")
+    met = rest.join(story, (F.col("cls") == F.col("to")) & (F.col("bucket") == F.col("to_bucket"))).where((F.struct("its_at", "its") < F.struct("at", "row_id")) & (F.col("at") - F.col("its_at") <= span))
+    best = met.groupBy("row_id").agg(F.max_by("its", F.struct("score", "its_at", "its")).alias("first_id"))
     joined = best.unionByName(opened.select("row_id", F.col("row_id").alias("first_id")))
     first = rows.select(F.col("row_id").alias("first_id"), F.col("signature").alias("first_signature"), F.floor(F.col("at") / 86_400_000_000).alias("day"))
-    named = joined.join(first, "first_id").join(rows.select("row_id", "at", "stem"), "row_id")
     # Openings of the same wording on one day get a number.
-    opening = named.select("first_id", "first_signature", "day").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("first_signature", "day").orderBy("first_id")))
+    opening = opened.select(F.col("row_id").alias("first_id")).join(first, "first_id").withColumn("nth", F.row_number().over(Window.partitionBy("first_signature", "day").orderBy("first_id")))
     opening = opening.withColumn("cluster_id", F.concat(F.lit("clu2_"), T.joined_hash(F.lit(version), F.concat(F.lit("d"), "day"), F.col("first_signature"), F.when(F.col("nth") > 1, F.col("nth")), length=16)))
-    w = Window.partitionBy("stem").orderBy("at").rangeBetween(Window.unboundedPreceding, -span - 1)
-    recurring = F.coalesce(F.count(F.lit(1)).over(w) > 0, F.lit(False)) & (F.col("stem") != "")
+    # A stem recurs where its earliest item lies further back than the span: a minimum, combined map-side.
+    stems = rows.where("stem <> ''").groupBy(F.col("stem").alias("_stem")).agg(F.min("at").alias("_since"))
+    named = joined.join(rows.select("row_id", "at", "stem"), "row_id").join(stems, F.col("stem") == F.col("_stem"), "left")
+    recurring = F.coalesce(F.col("_since") < F.col("at") - span, F.lit(False))
     return named.withColumn("is_recurring", recurring).join(opening.select("first_id", "cluster_id"), "first_id").select("row_id", "cluster_id", "is_recurring")
 
 
@@ -127,14 +184,23 @@ def resolved(items: DataFrame, known: DataFrame, clusters: DataFrame, hours: flo
     A URL of known(url, cluster_id) keeps its cluster (URL); else the cluster of clusters(row_id,
     cluster_id, title, ts) within `hours` either way that the item should merge with and is most like,
     the latest and then the smallest id of equal ones (MATCH); else none (NEW).
+
+    An item looks once into each class of headlines that it should merge with, for the last stored one
+    within the hours: as many rows as there are such classes, however many headlines they stand for.
     """
     span = int(hours * 3_600_000_000)
-    old, new = _described(clusters, "title", "ts", "row_id", ()), _described(items, "title", "ts", "row_id", ())
-    pairs = _pairs(old, new, span, least, (), True).join(clusters.select(F.col("row_id").alias("a"), "cluster_id"), "a")
-    order = Window.partitionBy("b").orderBy(F.desc("score"), F.desc("at"), "cluster_id")
-    best = pairs.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(F.col("b").alias("row_id"), F.col("cluster_id").alias("matched"))
+    new = materialised(_described(items, "title", "ts", "row_id", ()))
+    old = _described(clusters, "title", "ts", "row_id", ()).join(clusters.select("row_id", "cluster_id"), "row_id")
+    old = materialised(old.groupBy("cls", "at").agg(F.min("cluster_id").alias("cluster_id"), F.first("key").alias("key"), F.first("near").alias("near"), F.first("way").alias("way")))
+    pairs = _class_pairs(_nodes(old, span), _nodes(new, span), (-1, 0, 1), least)
+    pairs = pairs.unionByName(old.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("score")).distinct())
+    looks = new.select("row_id", "at", F.col("cls").alias("b")).join(pairs, "b").select("row_id", F.col("a").alias("cls"), "score", "at", (F.col("at") + span).alias("until"))
+    stored = old.select("cls", F.col("at").alias("its_at"), F.col("cluster_id").alias("matched"))
+    found = asof_join(looks, stored, ["cls"], "until", "its_at", ["its_at", "matched"]).where(F.col("its_at") >= F.col("at") - span)
+    last = found.groupBy("row_id").agg(F.max(F.struct("score", "its_at")).alias("top"), F.collect_list(F.struct("score", "its_at", "matched")).alias("all"))
+    best = last.select(F.col("row_id").alias("b"), F.array_min(F.transform(F.filter("all", lambda x: (x["score"] == F.col("top.score")) & (x["its_at"] == F.col("top.its_at"))), lambda x: x["matched"])).alias("matched"))
     by_url = known.groupBy("url").agg(F.min("cluster_id").alias("stored"))
-    out = items.select("row_id", "url").join(by_url, "url", "left").join(best, "row_id", "left")
+    out = items.select("row_id", "url").join(by_url, "url", "left").join(best, F.col("row_id") == F.col("b"), "left")
     how = F.when(F.col("stored").isNotNull(), "URL").when(F.col("matched").isNotNull(), "MATCH").otherwise("NEW")
     return out.select("row_id", F.coalesce("stored", "matched").alias("cluster_id"), how.alias("how"))
 

@@ -232,9 +232,29 @@ def cluster_labels(spark, sf):
     return stories.cluster_labels(df, "source", "direction", "sure", "report", ["ts", "doc_id"]).select("source", "label", "members")
 
 
-@query()
+_SMALL = "list_distinct(list_filter(string_split({0}, ' '), lambda x: length(x) > 1))"
+_WAY = lambda c: f"CASE WHEN list_has_any({c}, [{_IN(T.UP)}]) AND NOT list_has_any({c}, [{_IN(T.DOWN)}]) THEN 1 WHEN list_has_any({c}, [{_IN(T.DOWN)}]) AND NOT list_has_any({c}, [{_IN(T.UP)}]) THEN -1 ELSE 0 END"
+_TELL = lambda c: f"list_sort(list_distinct(list_filter({c}, lambda x: regexp_matches(x, '[0-9]') OR x IN ({_IN(T.ENTITIES)}))))"
+
+
+@query(rf"""WITH RECURSIVE {_K},
+    m0 AS (SELECT doc_id, regexp_replace(regexp_replace(norm, '{T.MONTHS_DAYS}', ' ', 'g'), '[$₹€£]?[0-9][0-9.,/:-]*%?', ' ', 'g') AS norm FROM n), stems AS (SELECT doc_id, array_to_string({_TOKENS}[1:8], ' ') AS stem FROM m0),
+    j AS (SELECT k.doc_id, d.lang, k.key, {_SMALL.format("k.key")} AS small, {_TELL("k.tok")} AS tell, {_WAY("k.tok")} AS way, array_to_string(list_sort(list_distinct(k.tok)), ' ') AS signature, stem, epoch_us(e.ts) AS at
+        FROM k JOIN documents d ON d.doc_id = k.doc_id JOIN stems ON stems.doc_id = k.doc_id JOIN events e ON e.event_id = k.doc_id),
+    p AS (SELECT b.doc_id AS n, a.doc_id AS c, a.at, CASE WHEN a.key = b.key THEN 1.0::DOUBLE WHEN len(a.small) = 0 OR len(b.small) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.small, b.small))::DOUBLE / len(list_distinct(list_concat(a.small, b.small))) END AS score
+        FROM j b JOIN j a ON a.lang IS NOT DISTINCT FROM b.lang AND a.tell = b.tell AND (a.at < b.at OR a.at = b.at AND a.doc_id < b.doc_id) AND b.at - a.at <= 36::BIGINT * 3600000000 WHERE a.way * b.way >= 0),
+    q AS (SELECT n, list(struct_pack(score := score, "at" := p.at, c := c)) AS cs FROM p WHERE score >= 0.7 GROUP BY n),
+    o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY j.at, j.doc_id) AS i, j.doc_id AS n, coalesce(cs, []) AS cs FROM j LEFT JOIN q ON q.n = j.doc_id),
+    s AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS n, NULL::BIGINT AS first, []::BIGINT[] AS opened UNION ALL
+        SELECT x.i, x.n, coalesce(x.hit, x.n), CASE WHEN x.hit IS NULL THEN list_append(x.opened, x.n) ELSE x.opened END
+        FROM (SELECT o.i, o.n, s.opened, list_reverse_sort(list_filter(o.cs, lambda y: list_contains(s.opened, y.c)))[1].c AS hit FROM s JOIN o ON o.i = s.i + 1) x),
+    f AS (SELECT s.n AS first, signature, (j.at // 86400000000) AS day, row_number() OVER (PARTITION BY signature, (j.at // 86400000000) ORDER BY s.n) AS nth FROM s JOIN j ON j.doc_id = s.n WHERE s.n = s.first),
+    g AS (SELECT stem, min(j.at) AS since FROM j WHERE stem <> '' GROUP BY stem)
+    SELECT s.n AS row_id, 'clu2_' || substr(sha256('v1|d' || day || '|' || f.signature || '|' || CASE WHEN nth > 1 THEN nth::VARCHAR ELSE '' END), 1, 16) AS cluster_id, coalesce(g.since < j.at - 36::BIGINT * 3600000000, FALSE) AS is_recurring
+    FROM s JOIN f ON f.first = s.first JOIN j ON j.doc_id = s.n LEFT JOIN g ON g.stem = j.stem WHERE s.i > 0""")
 def story_clusters(spark, sf):
-    return stories.story_clusters(_items(spark, sf), "text", "ts", "doc_id", block=["lang"])
+    """Whole documents as headlines. A file of one row group is one task's, so the rows are dealt out before their words are cut."""
+    return stories.story_clusters(_items(spark, sf).repartition("doc_id"), "text", "ts", "doc_id", block=["lang"])
 
 
 def _in_turn(rows: str) -> str:
@@ -268,9 +288,6 @@ def archive_provenance(spark, sf):
     return stories.archive_status(x, "doc_id", "title", "url", "published", "first_seen", n % 23 == 0).select("doc_id", "status")
 
 
-_SMALL = "list_distinct(list_filter(string_split({0}, ' '), lambda x: length(x) > 1))"
-
-
 @query(f"""WITH {_K}, j AS (SELECT k.doc_id, k.key, k.tok, {_SMALL.format("k.key")} AS small, e.ts FROM k JOIN events e ON e.event_id = k.doc_id),
     p AS (SELECT n.doc_id AS n, c.doc_id AS c, c.ts, n.key = c.key AS same, CASE WHEN len(n.small) = 0 OR len(c.small) = 0 THEN 0.0 ELSE len(list_intersect(n.small, c.small))::DOUBLE / len(list_distinct(list_concat(n.small, c.small))) END AS alike,
         list_concat(list_filter(n.tok, lambda x: NOT list_contains(c.tok, x)), list_filter(c.tok, lambda x: NOT list_contains(n.tok, x))) AS diff, n.tok AS nt, c.tok AS ct
