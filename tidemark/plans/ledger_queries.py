@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger
+import uuid
+
+from tidemark.operators import ledger, state
 from tidemark.plans.base import query, table
+from tidemark.sources import io, ledger_table
 
 
 def _polls(spark, sf):
@@ -89,3 +92,39 @@ def authoritative_series(spark, sf):
     usable = ledger.valid_only(x).groupBy("event_type").agg(F.count(F.lit(1)).alias("usable"))
     every = ledger.valid_only(x.withColumn("own", own), include_quarantined=True).groupBy("event_type").agg(F.count(F.lit(1)).alias("everything"), F.count_if("own").alias("official"))
     return usable.join(every, "event_type").select("event_type", "usable", "everything", "official")
+
+
+_GUARD = """c AS (SELECT sale_id AS id, CASE WHEN sale_id % 9 = 0 THEN 'BACKTEST' ELSE 'PROSPECTIVE' END AS mode, CASE WHEN sale_id % 11 = 0 THEN sale_id END AS target_id, client_id, status AS arm, priority % 3 + 1 AS h,
+        sold_at AS origin_ts, sold_at AS origin_published, arrived_at AS generated_ts FROM (SELECT *, row_number() OVER (PARTITION BY sale_id) AS nth, count(*) OVER (PARTITION BY sale_id) AS n FROM sales WHERE sale_id IS NOT NULL) WHERE n = 1),
+    p AS (SELECT client_id, ts, row_number() OVER (PARTITION BY client_id ORDER BY ts) AS rank FROM (SELECT DISTINCT client_id, ts FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL)),
+    a AS (SELECT c.*, coalesce(p.rank, 0) AS r1 FROM c ASOF LEFT JOIN p ON c.client_id = p.client_id AND c.origin_ts >= p.ts),
+    k AS (SELECT a.*, CASE WHEN generated_ts > origin_ts AND a.client_id IS NOT NULL THEN coalesce(p.rank, 0) - r1 ELSE 0 END AS known_after FROM a ASOF LEFT JOIN p ON a.client_id = p.client_id AND a.generated_ts >= p.ts),
+    s AS (SELECT DISTINCT client_id, arm, h, origin_ts FROM c WHERE id % 7 = 0 AND mode = 'PROSPECTIVE' AND origin_ts IS NOT NULL),
+    b AS (SELECT k.*, CASE WHEN mode <> 'PROSPECTIVE' THEN 'MODE' WHEN target_id IS NOT NULL THEN 'TARGET_KNOWN' WHEN generated_ts IS NULL OR k.origin_ts IS NULL OR generated_ts < k.origin_ts THEN 'TIMES' WHEN known_after >= k.h THEN 'HINDSIGHT'
+        WHEN s.origin_ts IS NOT NULL THEN 'STORED' END AS broken FROM k LEFT JOIN s ON k.client_id IS NOT DISTINCT FROM s.client_id AND k.arm IS NOT DISTINCT FROM s.arm AND k.h IS NOT DISTINCT FROM s.h AND k.origin_ts = s.origin_ts)"""
+
+
+@query(f"""WITH {_GUARD} SELECT id, known_after::BIGINT AS known_after, coalesce(broken, CASE WHEN id = min(CASE WHEN broken IS NULL THEN id END) OVER (PARTITION BY client_id, arm, h, origin_ts) THEN 'INSERTED' ELSE 'REPEATED' END) AS outcome FROM b""")
+def prospective_guard(spark, sf):
+    """Sales as forecasts made at their arrival: which of them a ledger takes in, with clicks as publications."""
+    n = F.col("sale_id")
+    sales = table(spark, sf, "sales").where(n.isNotNull())
+    once = sales.groupBy("sale_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("sale_id")
+    c = sales.join(once, "sale_id").select(
+        n.alias("id"), F.when(n % 9 == 0, "BACKTEST").otherwise("PROSPECTIVE").alias("mode"), F.when(n % 11 == 0, n).alias("target_id"), "client_id", F.col("status").alias("arm"), (F.col("priority") % 3 + 1).alias("h"),
+        F.col("sold_at").alias("origin_ts"), F.col("sold_at").alias("origin_published"), F.col("arrived_at").alias("generated_ts"),
+    )
+    out = state.guarded(c, table(spark, sf, "clicks").select("client_id", "ts"), c.where("id % 7 = 0"), ["client_id"], ["client_id", "arm", "h"])
+    return out.select("id", "known_after", "outcome")
+
+
+@query()
+def ledger_append(spark, sf):
+    """Sales appended to a new ledger in two overlapping batches, the second twice; read back with each row's first version."""
+    path = f"{io.scratch(spark)}/ledger-{uuid.uuid4().hex}"
+    sales = table(spark, sf, "sales").select("sale_id", "client_id", "status", "total")
+    for batch in ("sale_id % 3 = 0 OR sale_id IS NULL", "sale_id % 2 = 0", "sale_id % 2 = 0"):
+        ledger_table.append(sales.where(batch), path, ["sale_id"])
+    first = ledger_table.read_ledger(spark, path, sales.schema, as_of=1).select("sale_id", F.lit(1).alias("v"))
+    every = ledger_table.read_ledger(spark, path, sales.schema)
+    return every.join(first.withColumnRenamed("sale_id", "s"), F.col("sale_id").eqNullSafe(F.col("s")), "left").select("sale_id", F.coalesce("v", F.lit(2)).alias("version"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -102,7 +103,10 @@ def scratch(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(root or _own_folder()).rstrip('/')}/tidemark/{spark.sparkContext.applicationId}/tables"
+    # In full, so that Python's file systems and Hadoop's mean the same place.
+    path = spark._jvm.org.apache.hadoop.fs.Path(root or _own_folder())
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", whole).rstrip("/") + f"/tidemark/{spark.sparkContext.applicationId}/tables"
 
 
 def purge(spark: SparkSession) -> None:
