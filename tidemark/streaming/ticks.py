@@ -63,6 +63,17 @@ def sane(ts: Column, now: Column, future: str = "15 minutes", keep: str = "72 ho
     return (ts <= now + F.expr(f"interval {future}")) & (ts >= now - F.expr(f"interval {keep}"))
 
 
+def _news(price: float, at: float, quarantined: bool, last: tuple[float, float] | None, least: float, heartbeat: float | None) -> tuple[str | None, tuple[float, float] | None]:
+    """Why a row is told, if it is, and the price and time that later rows are compared with."""
+    if quarantined:  # told, but never a price that others are compared with
+        return "QUARANTINED", last
+    if last is None or abs(price - last[0]) > least:
+        return "CHANGE", (price, at)
+    if heartbeat is not None and at - last[1] >= heartbeat:
+        return "HEARTBEAT", (price, at)
+    return None, last
+
+
 class ChangeOrHeartbeat(StatefulProcessor):
     """Emits a key's row when its price moved by more than `least` since the row last emitted, when
     the row is quarantined, or when `heartbeat` seconds of event time have passed since then (None:
@@ -87,17 +98,15 @@ class ChangeOrHeartbeat(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         df = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
         state = self.last.get() if self.last.exists() else None
-        price, at = state[1:] if state else (None, None)
+        last = tuple(state[1:]) if state else None
         out = []
         for r in df.itertuples(index=False):
-            quarantined = bool(getattr(r, "quarantined", False))
-            moved = price is None or abs(r.price - price) > self.least
-            if quarantined:  # told, but never a price that others are compared with
-                out.append((int(key[0]), int(r.id), float(r.price), float(r.at), "QUARANTINED"))
-            elif moved or (self.heartbeat is not None and r.at - at >= self.heartbeat):
-                price, at = float(r.price), float(r.at)
-                out.append((int(key[0]), int(r.id), price, at, "CHANGE" if moved else "HEARTBEAT"))
-                self.last.update((int(r.id), price, at))
+            why, new = _news(float(r.price), float(r.at), bool(getattr(r, "quarantined", False)), last, self.least, self.heartbeat)
+            if why:
+                out.append((int(key[0]), int(r.id), float(r.price), float(r.at), why))
+            if new != last:
+                last = new
+                self.last.update((int(r.id), *last))
         if self.timer is not None:
             self._arm(timerValues.getCurrentProcessingTimeInMs())
         yield self._made(out)
@@ -165,6 +174,68 @@ def cached_rates(rates: DataFrame, key: list[str], order: list[str], accepted: C
     return x.withColumn("change", F.round(F.col("price") - F.col("previous"), 2)).withColumn("change_pct", F.when(F.col("previous") > 0, F.round(F.round(F.col("price") - F.col("previous"), 2) / F.col("previous") * 100, 4)).otherwise(0.0))
 
 
+class LiveCache(StatefulProcessor):
+    """The cache as state: of each key's products the last accepted rate, forgotten `ttl` seconds after its last update.
+
+    Emits a row for each accepted rate, and with `timer` seconds all cached rates of a key that has been silent
+    so long. Rates that aren't accepted change nothing.
+    """
+
+    def __init__(self, ttl: float | None = None, timer: float | None = None) -> None:
+        self.ttl, self.timer = ttl, timer
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rates = handle.getMapState("rates", "product string", "id long, price double, previous double, at double", None if self.ttl is None else int(self.ttl * 1000))
+
+    def _made(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", "product", "id", "price", "previous", "at", "why"]).astype({"id": "int64", "price": "float64", "previous": "float64", "at": "float64"})
+
+    def _arm(self, now_ms: int) -> None:
+        if self.timer is not None:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(now_ms + int(self.timer * 1000))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        for r in initialState.itertuples(index=False):
+            self.rates.updateValue((r.product,), (int(r.id), float(r.price), float(r.previous), float(r.at)))
+        self._arm(timerValues.getCurrentProcessingTimeInMs())
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["at", "id"], kind="stable").itertuples(index=False):
+            if bool(r.accepted):
+                held = self.rates.getValue((r.product,)) if self.rates.containsKey((r.product,)) else None
+                new = (int(r.id), float(r.price), float(held[1] if held else r.price), float(r.at))
+                self.rates.updateValue((r.product,), new)
+                out.append((key[0], r.product, *new, "RATE"))
+        self._arm(timerValues.getCurrentProcessingTimeInMs())
+        yield self._made(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self._arm(timerValues.getCurrentProcessingTimeInMs())
+        yield self._made([(key[0], k[0], int(v[0]), float(v[1]), float(v[2]), float(v[3]), "TIMER") for k, v in self.rates.iterator()])
+
+    def close(self) -> None:
+        pass
+
+
+def live_cache(stream: DataFrame, initial: DataFrame | None = None, ttl: float | None = None, timer: float | None = None) -> DataFrame:
+    """stream(key string, product string, id long, price double, at double, accepted boolean) -> key, product,
+    id, price, previous, at, why: a row for each rate that the cache took, and what its timers repeat.
+
+    initial: stored rates (key, product, id, price, previous, at), which a new query starts from; one that goes on
+    from its checkpoint has its own state. A price without one before has itself as previous. Rows are in order
+    of time within a batch, and a batch follows the one before. With ttl or timer the query must run by a
+    processing-time trigger: time passes without rows, so one that reads what there is now never ends.
+    """
+    return stream.groupBy("key").transformWithStateInPandas(
+        LiveCache(ttl, timer), outputStructType="key string, product string, id long, price double, previous double, at double, why string", outputMode="Append", timeMode="None" if ttl is None and timer is None else "ProcessingTime",
+        initialState=None if initial is None else initial.select("key", "product", "id", "price", "previous", "at").groupBy("key"),
+    )
+
+
 def cache_view(cache: DataFrame, now: Column, ttl: float = 3600.0, ts: str = "at") -> DataFrame:
     """The cache as read at `now`: age in seconds, and whether it is past its time to live."""
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6
@@ -198,20 +269,27 @@ def change_filter(stream: DataFrame, least: float = 1e-4, heartbeat: float | Non
 
 
 def change_filter_batch(df: DataFrame, least: float = 1e-4, heartbeat: float | None = None) -> DataFrame:
-    """The same over a finished table: one task holds one key's ticks at a time."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        price = at = None
-        keep = []
-        rows = rows.sort_values(["at", "id"], kind="stable")
-        for r in rows.itertuples(index=False):
-            news = price is None or abs(r.price - price) > least or (heartbeat is not None and r.at - at >= heartbeat)
-            keep.append(news)
-            if news:
-                price, at = r.price, r.at
-        return rows[keep]
-
-    return df.groupBy("key").applyInPandas(run, "key long, id long, price double, at double")
+    """The same over a finished table, quarantined rows with it: key, id, price, at, why. Timers are of
+    processing time, so a finished table has none.
+
+    Rows are sorted by key and time and streamed through the rule; a task keeps one key's last row.
+    """
+    rows = df if "quarantined" in df.columns else df.withColumn("quarantined", F.lit(False))
+    dealt = rows.select("key", "id", "price", "at", F.coalesce("quarantined", F.lit(False)).alias("quarantined")).repartition("key").sortWithinPartitions("key", "at", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if r.key != now:
+                    now, last = r.key, None
+                why, last = _news(r.price, r.at, bool(r.quarantined), last, least, heartbeat)
+                if why:
+                    out.append((r.key, r.id, r.price, r.at, why))
+            yield pd.DataFrame(out, columns=["key", "id", "price", "at", "why"]).astype({"key": "int64", "id": "int64", "price": "float64", "at": "float64"})
+
+    return dealt.mapInPandas(run, "key long, id long, price double, at double, why string")
 
 
 def stream_files(spark: SparkSession, path: str) -> DataFrame:
