@@ -108,10 +108,10 @@ def url_in_order(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.plain_url(u).alias("url"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, lower(trim(substr(text, 1, 60) || ' -  The Daily Post', chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS t FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, lower(trim(text || ' -  The Daily Post', chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS t FROM documents)
     SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\n\x0B\f\r]+[-|–—][ \t\n\x0B\f\r]+[A-Za-z0-9 \t\n\x0B\f\r.&]+$', ''), '[^\p{L}\p{N}_ \t\n\x0B\f\r]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS title FROM t""")
 def title_normalise(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.plain_title(F.concat(F.substring("text", 1, 60), F.lit(" -  The Daily Post"))).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", T.plain_title(F.concat(F.col("text"), F.lit(" -  The Daily Post"))).alias("title"))
 
 
 @query("""SELECT page_id, r.id, r.price FROM (SELECT page_id, unnest([{'id': page_id, 'price': 1.5::DOUBLE * (page_id % 9)}, {'id': -page_id, 'price': 2.0::DOUBLE}]) AS r FROM pages WHERE page_id % 3 <> 0)""")

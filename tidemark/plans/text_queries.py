@@ -272,7 +272,7 @@ def either_key_dedup(spark, sf):
     return stories.either_key_dedup(df.select("doc_id", "url", "title"), "url", "title", "doc_id").select("doc_id", "accepted")
 
 
-_ARCHIVE = """a AS (SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN '' ELSE substr(coalesce(text, ''), 1, 40) END AS title, CASE WHEN doc_id % 29 = 0 THEN NULL ELSE 'https://' || coalesce(source, 'none') || '.example/' || (doc_id % 400) END AS url, CASE WHEN doc_id % 37 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + (doc_id % 5) * INTERVAL 1 DAY END AS published FROM documents WHERE doc_id IS NOT NULL)"""
+_ARCHIVE = """a AS (SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN '' ELSE coalesce(text, '') END AS title, CASE WHEN doc_id % 29 = 0 THEN NULL ELSE 'https://' || coalesce(source, 'none') || '.example/' || (doc_id % 400) END AS url, CASE WHEN doc_id % 37 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + (doc_id % 5) * INTERVAL 1 DAY END AS published FROM documents WHERE doc_id IS NOT NULL)"""
 
 
 @query(f"""WITH RECURSIVE {_ARCHIVE}, b AS (SELECT doc_id, title AS text, url, published, trim(title, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' OR url IS NULL OR published IS NULL AS bad, doc_id % 23 = 0 AS fixture FROM a),
@@ -284,7 +284,7 @@ def archive_provenance(spark, sf):
     n, blank = F.col("doc_id"), F.lit("")
     published = F.when(n % 37 == 0, F.lit(None)).otherwise(F.expr("timestamp '2024-01-01' + make_dt_interval(cast(doc_id % 5 as int))"))
     url = F.when(n % 29 == 0, F.lit(None)).otherwise(F.concat(F.lit("https://"), F.coalesce("source", F.lit("none")), F.lit(".example/"), (n % 400).cast("string")))
-    x = d.select("doc_id", F.when(n % 31 == 0, "").otherwise(F.substring(F.coalesce("text", blank), 1, 40)).alias("title"), url.alias("url"), published.alias("published"), F.when(n % 2 == 0, published).alias("first_seen"))
+    x = d.select("doc_id", F.when(n % 31 == 0, "").otherwise(F.coalesce("text", blank)).alias("title"), url.alias("url"), published.alias("published"), F.when(n % 2 == 0, published).alias("first_seen"))
     return stories.archive_status(x, "doc_id", "title", "url", "published", "first_seen", n % 23 == 0).select("doc_id", "status")
 
 
