@@ -132,3 +132,23 @@ def test_intermediate_tables_are_the_applications_own(spark):
     assert io.exists(spark, io.scratch(spark))
     io.purge(spark)
     assert not io.exists(spark, io.scratch(spark))
+
+
+def test_hindsight_ranks(spark, monkeypatch):
+    """Distinct times after the origin and up to generation; nulls and reversed times know nothing, cut or not."""
+    from tidemark.operators import state
+
+    rng = random.Random(2)
+    pubs = [(rng.choice(["hot", "hot", "b", None]), rng.choice([None, *range(60)])) for _ in range(150)]
+    asks = [(i, rng.choice(["hot", "hot", "b", "c", None]), rng.choice([None, *range(60)]), rng.choice([None, *range(60)]), rng.randint(1, 3)) for i in range(120)]
+    p = spark.createDataFrame(pubs, "k string, ts int")
+    f = spark.createDataFrame(asks, "id long, k string, origin_ts int, generated_ts int, h int")
+    want = {i: len({t for c, t in pubs if c == k and t is not None and o < t <= g}) if None not in (k, o, g) and g > o else 0 for i, k, o, g, _ in asks}
+    for rows in (10**9, 20):
+        if rows == 20:
+            monkeypatch.setattr(S, "LEAST_BYTES", 0)
+        got = state.insert_violations(f, p, ["k"], segment_rows=rows).collect()
+        assert {r.id: r.known_after for r in got} == want and len(got) == len(asks)
+        for r in got:
+            early = None not in (r.origin_ts, r.generated_ts) and r.generated_ts < r.origin_ts
+            assert r.violation == ("GENERATED_BEFORE_ORIGIN" if early else "HINDSIGHT" if want[r.id] >= r.h else None)
