@@ -132,7 +132,8 @@ def pack(
     document cost `sentence` at a sentence end and `hard` in a stretch that has none for a
     sixteenth of a window; a window of a power of two below `size` costs `short`. Cuts are chosen over blocks of about `block`
     tokens, which bounds memory; the last window of a block is chosen again with the next.
-    Repeated rows and null ids are documents of their own. An empty table gives no rows.
+    Repeated rows and null ids are documents of their own. An empty table gives no rows. Each
+    partition is a stream of its own: a table that is split otherwise gives other sequences.
     """
     path = vocabulary or default_vocabulary()
     names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids
