@@ -85,3 +85,21 @@ def test_rows_that_differ_in_other_columns(spark):
     rows = [(1, "one two three four five six", "en", s) for s in "bcadb"]
     kept = {N.one_of_near(documents(spark, some)).collect()[0].source for some in (rows, rows[::-1], rows[2:] + rows[:2])}
     assert len(kept) == 1
+
+
+def test_fingerprints_bring_copies_together_without_bands(spark):
+    """SimHash's own step: texts whose fingerprints are equal or within two bits meet, and whole sets decide."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import simhash
+
+    rng = random.Random(8)
+    base = [f"word{rng.randrange(5000)}" for _ in range(900)]
+    told = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(["first", *base[1:]]), " ".join(f"else{rng.randrange(5000)}" for _ in range(900))]
+    fps = [simhash.majority([N.shingles(t.encode())]) for t in told]
+    assert all(0 <= (fps[0] ^ f).bit_count() <= simhash.RADIUS for f in fps[:3])
+    docs = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+    rows = docs.select("doc_id", *N.row_key("doc_id", "text"), F.col("text").cast("binary").alias("text"))
+    nodes = rows.mapInArrow(N._signatures, "doc_id long, k1 long, k2 long, node long, n int, bands array<long>, fp long").withColumn("bands", F.array().cast("array<long>"))
+    of, roots = {r.node: r.doc_id for r in nodes.collect()}, N._roots(docs, nodes, "doc_id", "text").collect()
+    assert {of[r.node] for r in roots} == {0, 1, 2} and len({r.root for r in roots}) == 1

@@ -1,11 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: banded MinHash, then whole sets.
+"""Near copies by SimHash and the Jaccard similarity of word shingles: operator 8's steps, then bands, whole sets decide.
 
-Operator 8 at a similarity of 0.8: SimHash bits of such a pair differ in about 10 of 64 places,
-and up to 17, for which covering masks would number 2^18. So the tables here are bands of MinHash
-values instead, with the same nodes, buckets and components as in simhash.py.
+A text is the set of its shingles' 64-bit hashes; equal sets are one node. Nodes have SimHash fingerprints of
+their sets, which meet by operator 8's method: equal ones, and by covering masks those within two bits. Pairs whose
+whole sets have the similarity link, and components are what the next step starts from.
 
-A text is the set of its shingles' 64-bit hashes; equal sets are one node. Each of BANDS bands
-hashes ROWS minima, so a pair of similarity s shares a bucket with chance 1 - (1 - s^ROWS)^BANDS:
+Two bits are not all of it: of a pair at 0.8 about 10 of 64 bits differ and up to 17, for which covering masks would
+number 2^18. So what SimHash left apart meets in bands of MinHash values too, with the same nodes, buckets and components.
+Each of BANDS bands hashes ROWS minima, so a pair of similarity s shares a bucket with chance 1 - (1 - s^ROWS)^BANDS:
 0.9999 at 0.8, more above. What shares a bucket is decided by whole sets, so no pair below the
 threshold links, and no pair that shares a bucket is passed over:
 
@@ -20,7 +21,6 @@ threshold links, and no pair that shares a bucket is passed over:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import body, one_row_each, row_key, written
-from .simhash import SEED, connected
+from .simhash import SEED, connected, hamming_links, majority
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -71,15 +71,18 @@ def bands(hashes: np.ndarray) -> list[int]:
 def _node(hashes: np.ndarray) -> int:
     import xxhash
 
-    n = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+
+
+def _signed(n: int) -> int:
     return n - (n >> 63 << 64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        made = [(_node(s), len(s), bands(s)) for s in (shingles(t.as_py()) for t in b.column(3))]
+        made = [(_node(s), len(s), bands(s), _signed(majority([s]))) for s in (shingles(t.as_py()) for t in b.column(3))]
         if made:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, k) for c, k in zip(zip(*made), (pa.int64(), pa.int32(), pa.list_(pa.int64()))))], ["doc_id", "k1", "k2", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, k) for c, k in zip(zip(*made), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64())))], ["doc_id", "k1", "k2", "node", "n", "bands", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +105,24 @@ def _near_sizes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes that SimHash brings together: each fingerprint's first node with its others, and with the first of those within two bits."""
+    firsts = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("lead")), "fingerprints")
+    same = nodes.join(firsts, "fp").where(F.col("lead.node") != F.col("node")).select(F.col("lead.node").alias("a"), F.col("lead.n").alias("n"), F.col("node").alias("b"), F.col("n").alias("m"))
+    of = lambda side, node, n: firsts.select(F.col("fp").alias(side), F.col("lead.node").alias(node), F.col("lead.n").alias(n))
+    near = hamming_links(firsts.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    return _near_sizes(same.unionByName(near.join(of("x", "a", "n"), "x").join(of("y", "b", "m"), "y").select("a", "n", "b", "m")))
+
+
+def _placed(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """Members of the buckets that have several components, with these and the bucket's size; and how many lie outside its largest one."""
+    named = members.drop("root", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
+    members = written(named.join(several, "key"), "members")
+    per_root = members.groupBy("key", "root").count().groupBy("key").agg((F.sum("count") - F.max("count")).alias("apart"))
+    return members, per_root.agg(F.coalesce(F.sum("apart"), F.lit(0))).first()[0]
+
+
 def _led(members: DataFrame, nth: int) -> DataFrame:
     """Each bucket's leader of this round with the members of other components."""
     at = F.xxhash64(F.lit(nth), "node")
@@ -178,26 +199,27 @@ def _roots(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Dat
     """node, root: every linked node with its component's smallest node; None without links."""
     entries = nodes.select("node", "n", F.explode("bands").alias("key"))
     met = written(entries.groupBy("key").count().where("count > 1").select("key"), "buckets")
-    members = written(entries.join(met, "key").withColumn("root", F.col("node")), "members")
-    of = members.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node")
+    members = written(entries.join(met, "key"), "members")
+    pairs = written(_by_fingerprint(nodes), "pairs")
+    of = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct().join(nodes.select("node", "k1", "k2"), "node")
     texts = docs.select(*row_key(id_col, text_col), body(text_col).cast("binary").alias("text"))
     texts = texts.join(of.hint("shuffle_hash"), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text")
     sets = written(texts.mapInArrow(_sets, "node long, hashes array<long>"), "sets")
-    links = roots = None
-    apart = members.count()
-    for nth in count():
+    links = written(_similar(pairs, sets), "links")
+    roots = connected(links)
+    members, apart = _placed(members, roots)
+    nth = 0
+    while apart:
         new = written(_similar(_led(members, nth), sets), "links")
-        links = new if links is None else links.unionByName(new)
-        if nth and new.isEmpty():
+        if new.isEmpty():
             break
+        links = links.unionByName(new)
         roots = connected(links)
-        named = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
-        members = written(named.drop("size").join(several, "key"), "members")
-        per_root = members.groupBy("key", "root").count().groupBy("key").agg((F.sum("count") - F.max("count")).alias("apart"))
-        before, apart = apart, per_root.agg(F.coalesce(F.sum("apart"), F.lit(0))).first()[0]
-        if 2 * apart > before or not apart:
+        before = apart
+        members, apart = _placed(members, roots)
+        if 2 * apart > before:
             break
+        nth += 1
     if apart:
         small = _similar(_crossed(members.where(F.col("size") <= SMALL)), sets)
         large = _blocked(members.where(F.col("size") > SMALL), sets)
@@ -217,10 +239,10 @@ def one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gives no rows.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), body(text_col).cast("binary").alias("text"))
-    rows = written(ids.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, node long, n int, bands array<long>"), "signatures")
+    rows = written(ids.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, node long, n int, bands array<long>, fp long"), "signatures")
     winner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("w")
-    # Equal sets have equal bands: those of any row do.
-    nodes = written(rows.groupBy("node").agg(winner, F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", "n", "bands", "w", "w.k1", "w.k2"), "nodes")
+    # Equal sets have equal bands and fingerprints: those of any row do.
+    nodes = written(rows.groupBy("node").agg(winner, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).select("node", "n", "bands", "fp", "w", "w.k1", "w.k2"), "nodes")
     best = nodes.select("node", "w")
     if (roots := _roots(docs, nodes, id_col, text_col)) is not None:
         best = best.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("node")).agg(F.min("w").alias("w"))

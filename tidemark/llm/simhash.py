@@ -15,7 +15,7 @@ pointer jumping; every round is a table in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -40,6 +40,15 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     return [m - (m >> 63 << 64) for m in masks]
 
 
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes; zero without hashes."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in chunks:
+        ones += np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        n += len(h)
+    return sum(1 << int(i) for i in np.flatnonzero(2 * ones > n))
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """SimHash of word shingles of UTF-8 text, repeats included; zero without words."""
     import xxhash
@@ -48,12 +57,13 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(islice(words, i, None) for i in range(width)))) if len(words) >= width else iter([b" ".join(words)])
-    ones, n = np.zeros(BITS, np.int64), 0
     digest = xxhash.xxh64_intdigest
-    while len(h := np.fromiter((digest(s, SEED) for s in islice(shingles, 1 << 14)), np.dtype("<u8"))):
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        n += len(h)
-    return sum(1 << int(i) for i in np.flatnonzero(2 * ones > n))
+
+    def chunks() -> Iterator[np.ndarray]:
+        while len(h := np.fromiter((digest(s, SEED) for s in islice(shingles, 1 << 14)), np.uint64)):
+            yield h
+
+    return majority(chunks())
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] | None = None) -> DataFrame:
