@@ -88,3 +88,36 @@ def test_heartbeats_of_an_idle_source_and_outages(spark, tmp_path):
     assert kinds.count(("idle", "HEARTBEAT")) >= 3 and ("broken", "OUTAGE") in kinds
     status = {r["query"]: r.status for r in progress.source_status(progress.log_table(spark, f"file://{tmp_path}/log"), time.time()).collect()}
     assert status == {"idle": "ENDED", "broken": "DOWN"}
+
+
+class Counted:
+    """A value state that counts its updates."""
+
+    def __init__(self):
+        self.value, self.updates = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.updates = value, self.updates + 1
+
+
+def test_one_state_update_a_batch():
+    """However many of a key's rows are news: an update is a message to the JVM, and dominated large streams."""
+    import pandas as pd
+
+    h = Counted()
+    p = ticks.ChangeOrHeartbeat()
+    p.init(h)
+    frames = [pd.DataFrame({"key": 7, "id": ids, "price": [float(i) for i in ids], "at": [float(i) for i in ids]}) for ids in ([3, 2], [1, 4, 5])]
+    out = [tuple(r) for f in p.handleInputRows((7,), iter(frames), None) for r in f[["id", "price", "why"]].itertuples(index=False)]
+    assert out == [(i, float(i), "CHANGE") for i in range(1, 6)]
+    assert h.value == (5, 5.0, 5.0) and h.updates == 1
+    assert list(p.handleInputRows((7,), iter([pd.DataFrame({"key": [7], "id": [6], "price": [5.0], "at": [6.0]})]), None)) == [] and h.updates == 1

@@ -8,6 +8,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,17 @@ def _news(price: float, at: float, quarantined: bool, last: tuple[float, float]
     return None, last
 
 
+def _in_order(rows: Iterator[pd.DataFrame], names: list[str], order: int) -> list[tuple]:
+    """A key's rows as tuples of these columns, sorted by the first `order`, missing numbers last; False for a column that isn't there.
+
+    A key has a few rows, for which building and sorting a frame would cost more than the rule.
+    """
+    told: list[tuple] = []
+    for df in rows:
+        told += zip(*[df[c].tolist() if c in df.columns else [False] * len(df) for c in names])
+    return sorted(told, key=lambda r: tuple((x != x, 0 if x != x else x) for x in r[:order]))
+
+
 class ChangeOrHeartbeat(StatefulProcessor):
     """Emits a key's row when its price moved by more than `least` since the row last emitted, when
     the row is quarantined, or when `heartbeat` seconds of event time have passed since then (None:
@@ -88,7 +100,8 @@ class ChangeOrHeartbeat(StatefulProcessor):
         self.last = handle.getValueState("last", "id long, price double, at double")
 
     def _made(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["key", "id", "price", "at", "why"]).astype({"key": "int64", "id": "int64", "price": "float64", "at": "float64"})
+        key, n, price, at, why = zip(*rows) if rows else ((),) * 5
+        return pd.DataFrame({"key": np.array(key, np.int64), "id": np.array(n, np.int64), "price": np.array(price, float), "at": np.array(at, float), "why": np.array(why, object)})
 
     def _arm(self, now_ms: int) -> None:
         for t in self.handle.listTimers():
@@ -96,20 +109,21 @@ class ChangeOrHeartbeat(StatefulProcessor):
         self.handle.registerTimer(now_ms + int(self.timer * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        df = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
         state = self.last.get() if self.last.exists() else None
-        last = tuple(state[1:]) if state else None
-        out = []
-        for r in df.itertuples(index=False):
-            why, new = _news(float(r.price), float(r.at), bool(getattr(r, "quarantined", False)), last, self.least, self.heartbeat)
+        last = before = tuple(state[1:]) if state else None
+        out, of = [], None
+        for at, n, price, quarantined in _in_order(rows, ["at", "id", "price", "quarantined"], 2):
+            why, new = _news(float(price), float(at), bool(quarantined), last, self.least, self.heartbeat)
             if why:
-                out.append((int(key[0]), int(r.id), float(r.price), float(r.at), why))
+                out.append((int(key[0]), int(n), float(price), float(at), why))
             if new != last:
-                last = new
-                self.last.update((int(r.id), *last))
+                last, of = new, int(n)
+        if last != before:
+            self.last.update((of, *last))  # once: each call is a message to the JVM
         if self.timer is not None:
             self._arm(timerValues.getCurrentProcessingTimeInMs())
-        yield self._made(out)
+        if out:
+            yield self._made(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if self.last.exists():
@@ -129,13 +143,15 @@ class PartialFrames(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         have = list(self.fields.get()[0]) if self.fields.exists() else []
-        out = []
-        for r in pd.concat(list(rows)).sort_values("id", kind="stable").itertuples(index=False):
-            new = list(r.fields)
+        before, ids, out = have, [], []
+        for n, new in _in_order(rows, ["id", "fields"], 1):
+            new = list(new)
             have = [new[i] if i < len(new) and new[i] != "" else (have[i] if i < len(have) else "") for i in range(max(len(new), len(have)))]
-            out.append((key[0], int(r.id), list(have)))
-        self.fields.update((have,))
-        yield pd.DataFrame(out, columns=["key", "id", "fields"])
+            ids.append(int(n))
+            out.append(have)
+        if have != before:
+            self.fields.update((have,))
+        yield pd.DataFrame({"key": [key[0]] * len(ids), "id": np.array(ids, np.int64), "fields": out})
 
     def close(self) -> None:
         pass
