@@ -121,3 +121,20 @@ def test_one_state_update_a_batch():
     assert out == [(i, float(i), "CHANGE") for i in range(1, 6)]
     assert h.value == (5, 5.0, 5.0) and h.updates == 1
     assert list(p.handleInputRows((7,), iter([pd.DataFrame({"key": [7], "id": [6], "price": [5.0], "at": [6.0]})]), None)) == [] and h.updates == 1
+
+
+def test_partial_frames_share_groups(spark, rocks, tmp_path):
+    """Keys, null ones too, share groups and keep their own fields over a restart, as the batch form has them."""
+    rng = random.Random(9)
+    schema = "key string, id long, fields array<string>"
+    rows = [(rng.choice([None, "", *"abcdefgh"]), i, [rng.choice(["", "x", "y"]) for _ in range(rng.randrange(4))]) for i in range(300)]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[:140], rows[140:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        ticks.run_to_table(ticks.merged_frames(spark.readStream.schema(schema).parquet(src), buckets=2), out, out + "-state")
+    have, want = {}, []
+    for k, i, new in rows:
+        old = have.get(k, [])
+        have[k] = [new[j] if j < len(new) and new[j] else (old[j] if j < len(old) else "") for j in range(max(len(new), len(old)))]
+        want.append((i, k, have[k]))
+    assert sorted((r.id, r.key, r.fields) for r in spark.read.parquet(out).collect()) == want

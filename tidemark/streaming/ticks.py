@@ -136,30 +136,44 @@ class ChangeOrHeartbeat(StatefulProcessor):
 
 
 class PartialFrames(StatefulProcessor):
-    """Emits each frame with its empty fields taken from the frames before of its type and symbol."""
+    """Emits each frame with its empty fields taken from the frames before of its type and symbol.
+
+    The group is a bucket of keys and the state a map by key, as a group of one key has few rows and costs a batch each
+    way. Of the map only keys that have rows are read and written.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fields = handle.getValueState("fields", "fields array<string>")
+        self.fields = handle.getMapState("fields", "key string", "fields array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        have = list(self.fields.get()[0]) if self.fields.exists() else []
-        before, ids, out = have, [], []
-        for n, new in _in_order(rows, ["id", "fields"], 1):
-            new = list(new)
-            have = [new[i] if i < len(new) and new[i] != "" else (have[i] if i < len(have) else "") for i in range(max(len(new), len(have)))]
-            ids.append(int(n))
-            out.append(have)
-        if have != before:
-            self.fields.update((have,))
-        yield pd.DataFrame({"key": [key[0]] * len(ids), "id": np.array(ids, np.int64), "fields": out})
+        by: dict[str | None, list[tuple]] = {}
+        for df in rows:
+            for k, n, new in zip(df["key"].tolist(), df["id"].tolist(), df["fields"].tolist()):
+                by.setdefault(k, []).append((n, list(new)))
+        keys, ids, out = [], [], []
+        for k, told in by.items():
+            at = ("" if k is None else f"={k}",)  # a map's key is never null
+            have = before = list(self.fields.getValue(at)[0]) if self.fields.containsKey(at) else []
+            for n, new in sorted(told, key=lambda r: r[0]):
+                have = [new[i] if i < len(new) and new[i] != "" else (have[i] if i < len(have) else "") for i in range(max(len(new), len(have)))]
+                keys.append(k)
+                ids.append(int(n))
+                out.append(have)
+            if have != before:
+                self.fields.updateValue(at, (have,))
+        yield pd.DataFrame({"key": keys, "id": np.array(ids, np.int64), "fields": out})
 
     def close(self) -> None:
         pass
 
 
-def merged_frames(stream: DataFrame) -> DataFrame:
-    """stream(key string, id long, fields array<string>) -> the same with whole fields."""
-    return stream.groupBy("key").transformWithStateInPandas(PartialFrames(), outputStructType="key string, id long, fields array<string>", outputMode="Append", timeMode="None")
+def merged_frames(stream: DataFrame, buckets: int = 1024) -> DataFrame:
+    """stream(key string, id long, fields array<string>) -> the same with whole fields.
+
+    A task holds a batch's rows of one bucket of keys at a time; `buckets` stays what it was where a query goes on from its checkpoint.
+    """
+    rows = stream.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "id", "fields")
+    return rows.groupBy("bucket").transformWithStateInPandas(PartialFrames(), outputStructType="key string, id long, fields array<string>", outputMode="Append", timeMode="None")
 
 
 def merged_frames_batch(df: DataFrame) -> DataFrame:
