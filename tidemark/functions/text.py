@@ -43,15 +43,20 @@ def normal_headline(title: Column) -> Column:
 
 def tokens(normal: Column) -> Column:
     """Words of a normal headline without stopwords, in order."""
-    words = F.split(F.regexp_replace(normal, r"[\x00-/:-@\[-^`{-\x7f]+", " "), " ")
+    words = F.split(normal, r"[\x00-/:-@\[-^`{-\x7f]+")
     return F.filter(words, lambda w: (w != "") & ~w.isin(*STOPWORDS))
 
 
 def cluster_key(title: Column) -> Column:
     """The first six tokens, or the normal headline where there are none."""
     normal = normal_headline(title)
-    key = F.array_join(F.slice(tokens(normal), 1, 6), " ")
-    return F.when(key == "", normal).otherwise(key)
+    return key_of(tokens(normal), normal)
+
+
+def key_of(words: Column | str, normal: Column | str) -> Column:
+    """The cluster key of a normal headline whose tokens are at hand."""
+    key = F.array_join(F.slice(words, 1, 6), " ")
+    return F.when(key == "", F.col(normal) if isinstance(normal, str) else normal).otherwise(key)
 
 
 def token_set(title: Column) -> Column:
@@ -70,8 +75,22 @@ def signature(title: Column) -> Column:
 
 def template_stem(title: Column) -> Column:
     """Eight tokens without dates and numbers: what recurring bulletins share."""
-    text = F.regexp_replace(normal_headline(title), MONTHS_DAYS, " ")
-    return F.array_join(F.slice(tokens(F.regexp_replace(text, r"[$₹€£]?[0-9][0-9.,/:-]*%?", " ")), 1, 8), " ")
+    return stem_of(normal_headline(title))
+
+
+def stem_of(normal: Column | str, head: int = 512) -> Column:
+    """The template stem of a normal headline.
+
+    Mostly the first `head` characters have its eight tokens and another: the cut touches the last token only. Where
+    they don't, the whole text is cut into words.
+    """
+    normal = F.col(normal) if isinstance(normal, str) else normal
+
+    def words(c: Column) -> Column:
+        return tokens(F.regexp_replace(F.regexp_replace(c, MONTHS_DAYS, " "), r"[$₹€£]?[0-9][0-9.,/:-]*%?", " "))
+
+    first = words(F.substring(normal, 1, head))
+    return F.array_join(F.slice(F.when(F.size(first) > 8, first).otherwise(words(normal)), 1, 8), " ")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -52,13 +52,13 @@ def _described(df: DataFrame, title: str, ts: str, row_id: str, block: Sequence[
     directions, and merge by their keys. So items of one block, key, set of telling tokens and
     direction stand for each other, however many there are and whatever else they say.
     """
-    t = F.coalesce(F.col(title), F.lit(""))
-    tells, way = T.telling(T.token_set(t))
-    near = F.xxhash64(*[x for c in block for x in (F.col(c).isNull(), F.col(c))], tells)
-    rows = df.select(
-        F.col(row_id).alias("row_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), T.cluster_key(t).alias("key"), near.alias("near"), way.alias("way"),
-        T.signature(t).alias("signature"), T.template_stem(t).alias("stem"),
-    )
+    # In steps, so that a text is cut into words once, however many columns are made of them.
+    t = df.select(F.col(row_id).alias("row_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(block)], T.normal_headline(F.coalesce(F.col(title), F.lit(""))).alias("normal"))
+    t = t.withColumn("words", T.tokens(F.col("normal")))
+    t = t.select("row_id", "at", *[f"_b{i}" for i in range(len(block))], T.key_of("words", "normal").alias("key"), T.stem_of("normal").alias("stem"), F.array_distinct("words").alias("set"))
+    tells, way = T.telling(F.col("set"))
+    near = F.xxhash64(*[x for i in range(len(block)) for x in (F.col(f"_b{i}").isNull(), F.col(f"_b{i}"))], tells)
+    rows = t.select("row_id", "at", "key", near.alias("near"), way.alias("way"), F.array_join(F.sort_array("set"), " ").alias("signature"), "stem")
     whole = ["near", "key", "way"]
     return rows.withColumn("cls", F.concat_ws("-", F.xxhash64(*whole), F.xxhash64(F.lit(1), *whole)))
 
