@@ -12,11 +12,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tidemark.operators.scan import Series, has_long_keys, number, scanned, shifted, total
+from tidemark.sources.io import materialised
 
 ALPHA = 5.0
 #: Neutral band of a log return, smallest residual scale, bounds of a prediction and of a probability.
@@ -94,15 +96,16 @@ def ridge_many(df: DataFrame, w: WindowSpec | Series, xs: Sequence[str], y: str,
     known = can
     for c in (*xs,):
         known = known & F.col(c).isNotNull()
-    df = _numbered(df, w).withColumn("_can", known).withColumn("_ok", known & (F.col("_nth") >= start) & F.col(y).isNotNull())
+    df = (df if "_nth" in df.columns else _numbered(df, w)).withColumn("_can", known).withColumn("_ok", known & (F.col("_nth") >= start) & F.col(y).isNotNull())
     terms = [F.lit(1.0), F.col(y), F.col(y) * F.col(y), *[F.col(a) for a in xs], *[F.col(a) * F.col(y) for a in xs], *[F.col(xs[i]) * F.col(xs[j]) for i in range(k) for j in range(i, k)]]
     names = [f"_s{i}" for i in range(len(terms))]
     df = _past_sums(df, w, h, {n: F.when(F.col("_ok"), c.cast("double")) for n, c in zip(names, terms)})
 
-    @F.pandas_udf("prediction double, up_score double")
-    def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("prediction double, up_score double")
+    def solve(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for sums, x in batches:
-            m, now = np.array(sums.tolist(), float), np.array(x.tolist(), float)
+            # Lists of one length, side by side in memory: no object for each row.
+            m, now = (c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) for c in (sums, x))
             sxx = np.zeros((len(m), k, k))
             at = 3 + 2 * k
             for i in range(k):
@@ -110,7 +113,7 @@ def ridge_many(df: DataFrame, w: WindowSpec | Series, xs: Sequence[str], y: str,
                     sxx[:, i, j] = sxx[:, j, i] = m[:, at]
                     at += 1
             p, up = _solve(m[:, 0], m[:, 3 : 3 + k], sxx, m[:, 1], m[:, 3 + k : 3 + 2 * k], m[:, 2], np.nan_to_num(now), least, alpha)
-            yield pd.DataFrame({"prediction": p, "up_score": up})
+            yield pa.StructArray.from_arrays([pa.array(p), pa.array(up)], ["prediction", "up_score"])
 
     df = df.withColumn("_sums", F.array(*[F.coalesce(n, F.lit(0.0)) for n in names])).drop(*names).withColumn("_x", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in xs]))
     df = df.withColumn("_r", solve("_sums", "_x")).withColumn("n_train", F.get("_sums", F.lit(0)).cast("int"))
@@ -123,10 +126,15 @@ def arms(df: DataFrame, w: WindowSpec | Series, value: str, price: Sequence[str]
 
     Columns are those of df with h, actual, arm, status, prediction, up_score, price and direction.
     News arms train and forecast on covered origins only; coverage is judged before sample size.
+    Origins with their numbers and targets are a table that all arms read, so what they come from is worked out once.
     """
-    out = None
+    out, names = None, df.columns
+    df = _numbered(materialised(df), w)
     for h in horizons:
-        base = _ahead(df.withColumn("h", F.lit(h)), w, value, h, "_then").withColumn("actual", F.ln(F.col("_then") / F.col(value))).drop("_then")
+        df = _ahead(df, w, value, h, f"_then{h}")
+    df = materialised(df)
+    for h in horizons:
+        base = df.select(*[F.col(f"`{c}`") for c in names], F.lit(h).alias("h"), F.ln(F.col(f"_then{h}") / F.col(value)).alias("actual"), "_nth")
         has = F.coalesce(F.col(covered), F.lit(False))
         for arm, xs, usable in (("NO_CHANGE", (), None), ("PRICE_ONLY", price, None), ("NEWS_ONLY", news, has), ("HYBRID", (*price, *news), has)):
             if xs:
@@ -135,7 +143,7 @@ def arms(df: DataFrame, w: WindowSpec | Series, value: str, price: Sequence[str]
                 status = F.when(missing, "NEWS_UNAVAILABLE").when(F.col("prediction").isNull(), "INSUFFICIENT_SAMPLE").otherwise("OK")
                 part = part.withColumn("status", status)
             else:
-                part = base.withColumn("n_train", F.lit(0)).withColumn("prediction", F.lit(0.0)).withColumn("up_score", F.lit(0.5)).withColumn("status", F.lit("OK"))
+                part = base.drop("_nth").withColumn("n_train", F.lit(0)).withColumn("prediction", F.lit(0.0)).withColumn("up_score", F.lit(0.5)).withColumn("status", F.lit("OK"))
             part = part.withColumn("arm", F.lit(arm)).withColumn("price", F.round(F.col(value) * F.exp("prediction"), 2)).withColumn("direction", direction(F.col("prediction")))
             out = part if out is None else out.unionByName(part)
     return out
