@@ -34,11 +34,23 @@ MONTHS_DAYS = r"\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|
 _SPACES = r"[ \t\n\x0b\f\r]+"
 
 
+def _unsigned(title: Column) -> Column:
+    text = F.btrim(title, F.lit(" \t\n\x0b\f\r"))
+    return F.regexp_replace(text, r"[ \t\n\x0b\f\r]+[-|–—][ \t\n\x0b\f\r]+[A-Za-z0-9 \t\n\x0b\f\r.&'()/]+$", "")
+
+
+def squeezed(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, _SPACES, " "))
+
+
 def normal_headline(title: Column) -> Column:
     """Without the publisher behind a dash, white space squeezed, lower case."""
-    text = F.btrim(title, F.lit(" \t\n\x0b\f\r"))
-    text = F.regexp_replace(text, r"[ \t\n\x0b\f\r]+[-|–—][ \t\n\x0b\f\r]+[A-Za-z0-9 \t\n\x0b\f\r.&'()/]+$", "")
-    return F.lower(F.btrim(F.regexp_replace(text, _SPACES, " ")))
+    return F.lower(squeezed(_unsigned(title)))
+
+
+def loose_headline(title: Column) -> Column:
+    """The normal headline with its white space as it is: it has the same tokens, and squeezed it is the same."""
+    return F.lower(_unsigned(title))
 
 
 def tokens(normal: Column) -> Column:

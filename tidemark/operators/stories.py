@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,9 @@ from tidemark.functions import text as T
 from tidemark.operators.asof import asof_join
 from tidemark.sources.io import materialised
 
+#: Words of a cluster key up to which its parts are listed: a key of tokens has no more.
+KEY_WORDS = 6
+
 
 def either_key_dedup(df: DataFrame, first_key: str, second_key: str, order: str) -> DataFrame:
     """Adds accepted: no earlier accepted row has the same first or second key.
@@ -45,20 +49,22 @@ def either_key_dedup(df: DataFrame, first_key: str, second_key: str, order: str)
     return df.join(decided.withColumn("accepted", F.lit(True)), F.col(order) == F.col("_o"), "left").drop("_o").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
-def _described(df: DataFrame, title: str, ts: str, row_id: str, block: Sequence[str]) -> DataFrame:
-    """Items with the class of their headline: all that decides what it merges with.
+def _described(df: DataFrame, title: str, ts: str, row_id: str, block: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Items with the class of their headline, all that decides what it merges with, and columns to keep.
 
     Two headlines conflict unless they have the same tokens that tell events apart and no opposite
     directions, and merge by their keys. So items of one block, key, set of telling tokens and
     direction stand for each other, however many there are and whatever else they say.
     """
-    # In steps, so that a text is cut into words once, however many columns are made of them.
-    t = df.select(F.col(row_id).alias("row_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(block)], T.normal_headline(F.coalesce(F.col(title), F.lit(""))).alias("normal"))
-    t = t.withColumn("words", T.tokens(F.col("normal")))
-    t = t.select("row_id", "at", *[f"_b{i}" for i in range(len(block))], T.key_of("words", "normal").alias("key"), T.stem_of("normal").alias("stem"), F.array_distinct("words").alias("set"))
-    tells, way = T.telling(F.col("set"))
+    # In steps, so that a text is cut into words once, however many columns are made of them. Only stems and keys without words need it squeezed.
+    t = df.select(F.col(row_id).alias("row_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(block)], *keep, T.loose_headline(F.coalesce(F.col(title), F.lit(""))).alias("loose"))
+    t = t.withColumn("words", T.tokens(F.col("loose")))
+    t = t.withColumn("normal", T.squeezed(F.col("loose")))
+    t = t.select("row_id", "at", *[f"_b{i}" for i in range(len(block))], *keep, T.key_of("words", T.squeezed(F.col("loose"))).alias("key"), T.stem_of("normal").alias("stem"), "words")
+    tells, way = T.telling(F.col("words"))
     near = F.xxhash64(*[x for i in range(len(block)) for x in (F.col(f"_b{i}").isNull(), F.col(f"_b{i}"))], tells)
-    rows = t.select("row_id", "at", "key", near.alias("near"), way.alias("way"), F.array_join(F.sort_array("set"), " ").alias("signature"), "stem")
+    signature = F.array_join(F.sort_array(F.array_distinct("words")), " ")
+    rows = t.select("row_id", "at", *keep, "key", near.alias("near"), way.alias("way"), (F.size("words") == 0).alias("bare"), signature.alias("signature"), "stem")
     whole = ["near", "key", "way"]
     return rows.withColumn("cls", F.concat_ws("-", F.xxhash64(*whole), F.xxhash64(F.lit(1), *whole)))
 
@@ -178,6 +184,61 @@ def story_clusters(df: DataFrame, title: str, ts: str, row_id: str, hours: float
     return named.withColumn("is_recurring", recurring).join(opening.select("first_id", "cluster_id"), "first_id").select("row_id", "cluster_id", "is_recurring")
 
 
+def _alike(least: float) -> tuple[list[list[tuple]], list[list[tuple]]]:
+    """Which parts keys alike enough share, by the number of a key's words from 0 to KEY_WORDS.
+
+    First for stored keys: a part that another key may share, and the number of words. Then for keys that look: a part of
+    theirs, a number of words that a stored key with that part may have, and how alike the two are if they share
+    no more. A part is the places of its words in order of spelling.
+    """
+    stored, looks = [[((0,), 0)]], [[((0,), 0, 1.0)]]
+    for n in range(1, KEY_WORDS + 1):
+        parts = [p for i in range(1, n + 1) for p in combinations(range(n), i)]
+        stored.append([(p, n) for p in parts if len(p) / n >= least])
+        looks.append([(p, m, len(p) / (n + m - len(p))) for p in parts for m in range(len(p), KEY_WORDS + 1) if len(p) / (n + m - len(p)) >= least])
+    return stored, looks
+
+
+def _parted(rows: DataFrame, choices: list[list[tuple]], tags: Column, *columns: str) -> DataFrame:
+    """`columns` of rows(key, size, near, ...), and score where the choices have it, with a row for each choice and each tag.
+
+    g and h tell apart what tells events apart, tags, numbers of words and parts. Keys without words are alike where they are equal.
+    """
+    fields = ("kept", "m", "score")[: len(choices[0][0])]
+    one = lambda c: F.struct(*[F.lit(list(x) if isinstance(x, tuple) else x).alias(f) for f, x in zip(fields, c)])
+    by_size = F.array(*[F.array(*map(one, of_size)) for of_size in choices])
+    x = rows.withColumn("words", F.sort_array(T.key_set(F.col("key")))).withColumn("choice", F.explode(F.get(by_size, F.col("size")))).withColumn("tag", F.explode(tags))
+    part = F.when(F.col("size") == 0, F.concat(F.lit("="), F.col("key"))).otherwise(F.array_join(F.transform("choice.kept", lambda i: F.get("words", i)), " "))
+    x = x.withColumn("part", part)
+    return x.select(*columns, F.xxhash64("near", "tag", "choice.m", "part").alias("g"), F.xxhash64(F.lit(1), "near", "tag", "choice.m", "part").alias("h"), *[f"choice.{f}" for f in fields[2:]])
+
+
+def _places(old: DataFrame, new: DataFrame, span: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Where stored headlines lie: g, h, its_at, matched; and where classes of new ones look: b, g, h, score.
+
+    Keys alike enough share a part that leaves out few words of either. A stored one lies under all such parts of its
+    key, a new one looks under all of its own: rows grow with headlines, not with pairs of them. A key that shares more than
+    the part is found under the larger part too, and is more alike there.
+    Only headlines without a token may have longer keys. Where there are such, their classes are paired.
+    """
+    stored_parts, look_parts = _alike(least)
+    # Who has no direction looks among all, tag 2; others among those without one and of their own.
+    lie = _parted(old, stored_parts, F.array(F.lit(2), F.col("way")), "at", "cluster_id")
+    classes = new.select(F.col("cls").alias("b"), "key", "size", "near", "way").distinct()
+    look = _parted(classes, look_parts, F.when(F.col("way") == 0, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.col("way"))), "b")
+    whole = lambda c: (F.xxhash64(F.lit("class"), c).alias("g"), F.xxhash64(F.lit(1), F.lit("class"), c).alias("h"))
+    longer = F.col("bare") & (F.col("size") > KEY_WORDS)
+    shorter = F.col("bare") & ~longer & (F.col("size") >= least * (KEY_WORDS + 1) - 1e-9)
+    for a, b in ((old.where(longer), new.where(longer | shorter)), (old.where(shorter), new.where(longer))):
+        if a.isEmpty() or b.isEmpty():
+            continue
+        pairs = _class_pairs(_nodes(a, span), _nodes(b, span), (-1, 0, 1), least)
+        pairs = pairs.unionByName(a.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("score")).distinct())
+        lie = lie.unionByName(a.select("at", "cluster_id", *whole(F.col("cls"))))
+        look = look.unionByName(pairs.select("b", *whole(F.col("a")), "score"))
+    return lie.groupBy("g", "h", F.col("at").alias("its_at")).agg(F.min("cluster_id").alias("matched")), look
+
+
 def resolved(items: DataFrame, known: DataFrame, clusters: DataFrame, hours: float = 36, least: float = 0.70) -> DataFrame:
     """row_id, cluster_id, how: items(row_id, url, title, ts) against what is stored.
 
@@ -185,22 +246,21 @@ def resolved(items: DataFrame, known: DataFrame, clusters: DataFrame, hours: flo
     cluster_id, title, ts) within `hours` either way that the item should merge with and is most like,
     the latest and then the smallest id of equal ones (MATCH); else none (NEW).
 
-    An item looks once into each class of headlines that it should merge with, for the last stored one
-    within the hours: as many rows as there are such classes, however many headlines they stand for.
+    An item looks once under each part of its key that a stored key alike enough may share, for the last one
+    within the hours: as often however many headlines are stored.
     """
     span = int(hours * 3_600_000_000)
-    new = materialised(_described(items, "title", "ts", "row_id", ()))
-    old = _described(clusters, "title", "ts", "row_id", ()).join(clusters.select("row_id", "cluster_id"), "row_id")
-    old = materialised(old.groupBy("cls", "at").agg(F.min("cluster_id").alias("cluster_id"), F.first("key").alias("key"), F.first("near").alias("near"), F.first("way").alias("way")))
-    pairs = _class_pairs(_nodes(old, span), _nodes(new, span), (-1, 0, 1), least)
-    pairs = pairs.unionByName(old.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("score")).distinct())
-    looks = new.select("row_id", "at", F.col("cls").alias("b")).join(pairs, "b").select("row_id", F.col("a").alias("cls"), "score", "at", (F.col("at") + span).alias("until"))
-    stored = old.select("cls", F.col("at").alias("its_at"), F.col("cluster_id").alias("matched"))
-    found = asof_join(looks, stored, ["cls"], "until", "its_at", ["its_at", "matched"]).where(F.col("its_at") >= F.col("at") - span)
-    last = found.groupBy("row_id").agg(F.max(F.struct("score", "its_at")).alias("top"), F.collect_list(F.struct("score", "its_at", "matched")).alias("all"))
-    best = last.select(F.col("row_id").alias("b"), F.array_min(F.transform(F.filter("all", lambda x: (x["score"] == F.col("top.score")) & (x["its_at"] == F.col("top.its_at"))), lambda x: x["matched"])).alias("matched"))
+    size = F.size(T.key_set(F.col("key"))).alias("size")
+    new = materialised(_described(items, "title", "ts", "row_id", (), ["url"]).select("row_id", "url", "at", "cls", "key", "near", "way", "bare", size))
+    old = materialised(_described(clusters, "title", "ts", "row_id", (), ["cluster_id"]).select("cluster_id", "at", "cls", "key", "near", "way", "bare", size))
+    stored, look = _places(old, new, span, least)
+    stored = materialised(stored)
+    look = look.join(stored.select("g", "h").distinct(), ["g", "h"], "left_semi")
+    looks = materialised(new.select("row_id", "at", (F.col("at") + span).alias("until"), F.col("cls").alias("b")).join(look, "b").drop("b"))
+    found = asof_join(looks, stored, ["g", "h"], "until", "its_at", ["its_at", "matched"]).where(F.col("its_at") >= F.col("at") - span)
+    best = found.groupBy(F.col("row_id").alias("b")).agg(F.min(F.struct(-F.col("score"), -F.col("its_at"), F.col("matched").isNull(), "matched"))["matched"].alias("matched"))
     by_url = known.groupBy("url").agg(F.min("cluster_id").alias("stored"))
-    out = items.select("row_id", "url").join(by_url, "url", "left").join(best, F.col("row_id") == F.col("b"), "left")
+    out = new.select("row_id", "url").join(by_url, "url", "left").join(best, F.col("row_id") == F.col("b"), "left")
     how = F.when(F.col("stored").isNotNull(), "URL").when(F.col("matched").isNotNull(), "MATCH").otherwise("NEW")
     return out.select("row_id", F.coalesce("stored", "matched").alias("cluster_id"), how.alias("how"))
 
